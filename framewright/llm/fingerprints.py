@@ -231,7 +231,8 @@ def edit_groups(docs: DataFrame, least: float = LIKENESS, band: int = BAND) -> D
     keyed = nodes.select("fingerprint", F.explode(cut).alias("band"))
     order = Window.partitionBy("band").orderBy("fingerprint")
     near = F.array(F.first("fingerprint").over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lag("fingerprint").over(order))
-    pairs = keyed.select(F.col("fingerprint").alias("b"), F.explode(near).alias("a")).where("a is not null and a <> b").distinct()
+    ranked = keyed.select(F.col("fingerprint").alias("b"), near.alias("near"))
+    pairs = ranked.select("b", F.explode("near").alias("a")).where("a is not null and a <> b").distinct()
 
     @F.pandas_udf("double")
     def alike(a, b):  # noqa: ANN001, ANN202

@@ -98,7 +98,7 @@ def draw(slots: np.ndarray, shards: int, seed: int = SEED) -> np.ndarray:
             take -= int(more.sum())
         out.append(got)
         left -= got
-    return np.array(out, np.int64).reshape(-1, len(slots))
+    return np.array(out, np.int64).reshape(shards, len(slots))
 
 
 def plan(sizes: dict[str | None, int], weights: dict[str | None, float] | None = None, block: int = BLOCK, seed: int = SEED, share: float = SHARE, most: float = MOST) -> Plan:

@@ -63,7 +63,7 @@ def planned(totals: np.ndarray, length: int = LENGTH, windows: int = WINDOWS) ->
         out.append(at.copy())
         take, deficit = served(share, deficit, totals - at, min(size, total - int(at.sum())))
         at += take
-    return np.array([*out, at], np.int64).reshape(-1, len(totals)), windows
+    return np.array([*out, at], np.int64).reshape(len(out) + 1, len(totals)), windows
 
 
 def filled(quota: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -102,7 +102,8 @@ def _rows(table: DataFrame, plan: np.ndarray, base: dict[tuple[int, str | None],
                         a, b = max(first, int(cuts[p])), min(first + n, int(cuts[p + 1]))
                         if b > a:
                             out.append((p, s, a - int(cuts[p]), doc, a - first, n, pack.compress(raw[(a - first) * width : (b - first) * width])))
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["partition", "no", "at", "doc_id", "start", "doc_tokens", "ids"])
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(kinds)], ["partition", "no", "at", "doc_id", "start", "doc_tokens", "ids"])
 
     return table.mapInArrow(run, "partition long, no int, at long, doc_id long, start long, doc_tokens long, ids binary")
 
