@@ -1,13 +1,17 @@
 """Fuzzy line dedup by MinHash, in DataFrame expressions alone.
 
-Signatures are over shingles of the characters from each start of a word on, a sample of the shingles of a line
-that depends on the characters alone; lines with few words, or words of unusual length, give all their shingles.
+Signatures are over shingles of the characters from one anchor on, up to the next: a sample of a line's shingles
+that depends on its characters alone, as anchors are words by their first letter. Lines with few anchors, or far
+between, give all their shingles.
 Lines that share a band are candidates; they are verified by the exact Jaccard similarity of all their shingles of
 SHINGLE characters. Distributed union-find then keeps one line of each component.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,18 +19,28 @@ from framewright.llm.common import connected_components, materialize
 
 #: Characters of the shingles that signatures sample, and of those that are compared exactly.
 ANCHORED, SHINGLE = 10, 5
+#: Characters of a sampled shingle that count.
+LONGEST = 16
 SIMILARITY = 0.8
-BANDS, ROWS = 9, 3
+BANDS, ROWS = 7, 3
 #: Neighbours, in the order of a band, that a line is compared with besides the band's first line.
-NEIGHBOURS = 4
+NEIGHBOURS = 2
+#: Words of 64 bits of the filter that passes over lines of no pair; its size does not depend on the data.
+FILTER_WORDS = 1 << 18
 _SEEDS = [(0x9E3779B1 * (i + 1) * (2 * i + 1)) % (1 << 32) - (1 << 31) for i in range(BANDS * ROWS)]
+_NO_ID = (1 << 63) - 1
+
+
+def pieces(line: Column) -> Column:
+    """Parts of a line from one anchor to the next: words that begin with another letter than these, about half of all."""
+    return F.split(line, r" (?=[^aceikmoqsuwyAEIMOSTU\s])", -1)
 
 
-def anchored_shingles(line: Column) -> Column:
-    words = F.regexp_extract_all(line, F.lit(rf"(?s)(?<!\S)(?=(\S.{{0,{ANCHORED - 1}}}))"), F.lit(1))
+def sampled_shingles(line: Column, parts: Column) -> Column:
+    """The parts of a line; of a line with few or unusual ones, all shingles of ANCHORED characters."""
     every = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{ANCHORED}}}))"), F.lit(1))
-    many = F.size(words) * 12 >= F.length(line)
-    return F.when(many & (F.size(words) >= 6), words).when(F.length(line) < ANCHORED, F.array(line)).otherwise(every)
+    usual = (F.size(parts) >= 6) & (F.size(parts) * 25 >= F.length(line))
+    return F.when(usual, parts).when(F.length(line) <= ANCHORED, F.array(line)).otherwise(every)
 
 
 def shingles(line: Column) -> Column:
@@ -35,14 +49,38 @@ def shingles(line: Column) -> Column:
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line) of every line that has more than white space, numbered from 0."""
-    text = docs.select(F.col("doc_id").cast("long"), F.posexplode(F.split(F.col("text").cast("string"), "\n", -1)).alias("line_no", "line"))
-    return text.where(F.trim(F.regexp_replace("line", r"[\t\r\x0B\f]", " ")) != "")
+    """(doc_id, line_no, line) of every line that has more than white space, numbered from 0; a null id is the largest."""
+    text = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.posexplode(F.split(F.col("text").cast("string"), "\n", -1)).alias("line_no", "line"))
+    return text.where(F.col("line").rlike(r"\S"))
+
+
+def _place(doc_id: str | Column = "doc_id", line_no: str | Column = "line_no") -> Column:
+    """One orderable value for a place."""
+    at = (F.col(c) if isinstance(c, str) else c for c in (doc_id, line_no))
+    return (next(at).cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(11,0)") + next(at)).cast("decimal(38,0)")
+
 
+def _split_place(place: str) -> list[Column]:
+    return [F.expr(f"cast({place} div cast(4294967296 as decimal(11,0)) as long)").alias("doc_id"), F.expr(f"cast({place} % cast(4294967296 as decimal(11,0)) as int)").alias("line_no")]
 
-def _place(doc_id: str = "doc_id", line_no: str = "line_no") -> Column:
-    """One orderable value for a place; a null document comes after all others."""
-    return (F.coalesce(F.col(doc_id), F.lit((1 << 63) - 1)).cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(11,0)") + F.col(line_no)).cast("decimal(38,0)")
+
+def signatures(docs: DataFrame) -> DataFrame:
+    """(doc_id, meta, b0, b1, ...) of each distinct line: its first place, and a hash for each band of its signature.
+
+    meta has the logarithm of the line's length in 11 bits, a bit of each minimum in 21, and the line number in 32.
+    """
+    hashes = [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")]
+    cut = lines(docs).withColumn("parts", pieces(F.col("line")))
+    # Each line is hashed before its shingles part it into rows.
+    cut = cut.select(*hashes, F.length("line").alias("n"), _place().alias("place"), sampled_shingles(F.col("line"), F.col("parts")).alias("all"))
+    rows = cut.select("h1", "h2", "n", "place", F.posexplode_outer("all").alias("pos", "s"))
+    rows = rows.select("h1", "h2", "n", F.hash(F.substring("s", 1, LONGEST)).alias("x"), F.when(F.col("pos") == 0, F.col("place")).alias("place"))
+    sign = rows.groupBy("h1", "h2").agg(F.max("n").alias("n"), F.min("place").alias("place"), *(F.min(F.col("x").bitwiseXOR(F.lit(c))).alias(f"m{i}") for i, c in enumerate(_SEEDS)))
+    bits = sum((F.col(f"m{i}").bitwiseAND(F.lit(1)).cast("long") * F.lit(1 << (32 + i)) for i in range(BANDS * ROWS)), F.lit(0).cast("long"))
+    long = F.least(F.lit(1023), F.floor(F.log2("n") * 32)).cast("long") * F.lit(1 << 53)
+    bands = [F.xxhash64(F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))).alias(f"b{b}") for b in range(BANDS)]
+    doc_id, line_no = _split_place("place")
+    return sign.select(doc_id, (long + bits + line_no.cast("long")).alias("meta"), *bands)
 
 
 def kept_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -52,53 +90,50 @@ def kept_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     `similarity`, the first by doc_id and number stays. Equal lines are always linked. Lines of white space alone
     are not considered and not listed. Rows that share a doc_id are one document; a null doc_id comes last.
     """
-    occ = lines(docs)
-    hashes = [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")]
-    found = materialize(occ.select(_place().alias("place"), *hashes).groupBy("h1", "h2").agg(F.min("place").alias("place")), "lines-distinct")
-    rows = occ.select(*hashes, F.length("line").alias("n"), F.explode(anchored_shingles(F.col("line"))).alias("s")).select("h1", "h2", "n", F.hash("s").alias("x"))
-    sign = rows.groupBy("h1", "h2").agg(F.max("n").alias("n"), *(F.min(F.col("x").bitwiseXOR(F.lit(c))).alias(f"m{i}") for i, c in enumerate(_SEEDS)))
-    bands = [F.xxhash64(F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)]
-    # One bit of each minimum: enough to pass over pairs that merely share a band.
-    bits = sum((F.col(f"m{i}").bitwiseAND(F.lit(1)).cast("long") * F.lit(1 << i) for i in range(1, BANDS * ROWS)), F.col("m0").bitwiseAND(F.lit(1)).cast("long"))
-    placed = sign.join(found, ["h1", "h2"]).select("place", "n", bits.alias("bits"), F.explode(F.array(*bands)).alias("band"))
-    order = Window.partitionBy("band").orderBy("n", "place")
-    first = F.first(F.struct("place", "n", "bits")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    before = [F.lag(F.struct("place", "n", "bits"), k).over(order) for k in range(1, NEIGHBOURS + 1)]
-    ranked = placed.select("place", "n", "bits", F.array(first, *before).alias("others"))
-    pairs = ranked.select("place", "n", "bits", F.explode("others").alias("o")).where("o is not null and o.place <> place")
-    # Similar sets have similar sizes, and so do the lines; the exact comparison follows.
-    alike = F.bit_count(F.col("bits").bitwiseXOR(F.col("o.bits"))) <= BANDS * ROWS // 2 - 3
-    sized = (F.col("o.n") * 2 >= F.col("n")) & (F.col("n") * 2 >= F.col("o.n"))
-    pairs = materialize(pairs.where(alike & sized).select(F.least("place", "o.place").alias("a"), F.greatest("place", "o.place").alias("b")).distinct(), "line-pairs")
-    edges = verified(docs, pairs, similarity)
-    joined = connected_components(edges)
-    gone = joined.where("node <> root").select(F.col("node").alias("place"))
-    kept = found.select("place").join(gone, "place", "left_anti")
-    base = F.lit(1 << 32).cast("decimal(11,0)")
-    kept = kept.select(F.expr("cast(place div cast(4294967296 as decimal(11,0)) as long)").alias("doc_id"), (F.col("place") % base).cast("int").alias("line_no"))
+    found = materialize(signatures(docs), "line-signatures")
+    placed = found.select("doc_id", "meta", F.explode(F.array(*(f"b{b}" for b in range(BANDS)))).alias("band"))
+    order = Window.partitionBy("band").orderBy("meta", "doc_id")
+    other = lambda c, k: F.lag(c, k).over(order) if k else F.first(c).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    near = [(other("doc_id", k).alias(f"d{k}"), other("meta", k).alias(f"o{k}")) for k in range(NEIGHBOURS + 1)]
+    ranked = placed.select("doc_id", "meta", *(c for pair in near for c in pair))
+    # Alike: lengths within a factor of two, and enough equal bits of the minima for sets that share half.
+    bits = ((1 << BANDS * ROWS) - 1) << 32
+    alike = [F.col(f"o{k}").isNotNull() & ((F.col("doc_id") != F.col(f"d{k}")) | (F.col("meta") != F.col(f"o{k}"))) & (F.shiftright("meta", 53) - F.shiftright(f"o{k}", 53) <= 32) & (F.bit_count(F.col("meta").bitwiseXOR(F.col(f"o{k}")).bitwiseAND(F.lit(bits))) <= BANDS * ROWS // 2 - 2) for k in range(NEIGHBOURS + 1)]
+    got = F.filter(F.array(*(F.when(a, F.struct(F.col(f"d{k}").alias("doc_id"), F.col(f"o{k}").alias("meta"))) for k, a in enumerate(alike))), lambda x: x.isNotNull())
+    pairs = ranked.where(reduce(or_, alike)).select("doc_id", "meta", F.explode(got).alias("o"))
+    number = lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1))
+    both = [_place("doc_id", number("meta")).alias("x"), _place("o.doc_id", number("o.meta")).alias("y")]
+    pairs = materialize(pairs.select(*both).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "line-pairs")
+    joined = connected_components(verified(docs, pairs, similarity))
+    gone = joined.where("node <> root").select(*_split_place("node"))
+    kept = found.select("doc_id", number("meta").cast("int").alias("line_no")).join(gone, ["doc_id", "line_no"], "left_anti")
     kept = kept.groupBy("doc_id").agg(F.array_sort(F.collect_list("line_no")).alias("lines"))
-    return kept.select(F.when(F.col("doc_id") != (1 << 63) - 1, F.col("doc_id")).alias("doc_id"), "lines")
+    return kept.select(F.when(F.col("doc_id") != _NO_ID, F.col("doc_id")).alias("doc_id"), "lines")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """Of the pairs (a, b) of places, those of lines whose exact Jaccard similarity is high enough."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("place")).distinct()
-    where = needed.select("place", F.expr("cast(place div cast(4294967296 as decimal(11,0)) as long)").alias("__fw_id"), (F.col("place") % F.lit(1 << 32).cast("decimal(11,0)")).cast("int").alias("no"))
-    wanted = where.groupBy("__fw_id").agg(F.collect_list(F.struct("place", "no")).alias("wanted"))
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("__fw_id"), F.split(F.col("text").cast("string"), "\n", -1).alias("split"))
-    got = own.join(wanted, "__fw_id").select(F.explode(F.transform("wanted", lambda w: F.struct(w["place"].alias("place"), F.get("split", w["no"]).alias("line")))).alias("x")).where("x.line is not null")
-    sets = got.select("x.place", F.transform(shingles(F.col("x.line")), lambda s: F.xxhash64(s)).alias("set")).dropDuplicates(["place"])
-    sets = materialize(sets, "line-sets")
-    at = lambda c: sets.select(F.col("place").alias(c), F.col("set").alias(f"set_{c}"))
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("place")).distinct().select("place", *_split_place("place"))
+    # A table of hashed bits, of a fixed size however many lines there are, lets most other lines be passed over.
+    h = F.xxhash64("doc_id", "line_no")
+    word, bit = F.pmod(F.shiftright(h, 6), F.lit(FILTER_WORDS)), F.pmod(h, F.lit(64)).cast("int")
+    marks = needed.groupBy(word.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(xxhash64(doc_id, line_no), 64L) as int))")).alias("marks"))
+    own = lines(docs).withColumn("word", word).withColumn("bit", bit).join(F.broadcast(marks), "word")
+    own = own.where(F.expr("(shiftright(marks, bit) & 1L) = 1L")).select("doc_id", "line_no", "line")
+    texts = materialize(own.join(needed, ["doc_id", "line_no"]).select("place", "line").dropDuplicates(["place"]), "line-texts")
+    at = lambda c: texts.select(F.col("place").alias(c), F.col("line").alias(f"line_{c}"))
     both = pairs.join(at("a"), "a").join(at("b"), "b")
-    common = F.size(F.array_intersect("set_a", "set_b"))
-    return both.where(common >= similarity * (F.size("set_a") + F.size("set_b") - common)).select("a", "b")
+    # One expression, so that each set is made once, wherever the filter ends up.
+    sets = F.array(F.struct(shingles(F.col("line_a")).alias("a"), shingles(F.col("line_b")).alias("b")))
+    sizes = F.transform(sets, lambda s: F.struct(F.size(F.array_intersect(s["a"], s["b"])).alias("common"), (F.size(s["a"]) + F.size(s["b"])).alias("total")))
+    jaccard = F.get(F.transform(sizes, lambda s: s["common"] / (s["total"] - s["common"])), F.lit(0))
+    return both.where(jaccard >= similarity - 1e-12).select("a", "b")
 
 
 def line_report(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """A row for each row of docs: doc_id, n_lines (with more than white space), n_kept, kept_lines (their numbers)."""
     split = F.coalesce(F.split(F.col("text").cast("string"), "\n", -1), F.array().cast("array<string>"))
-    full = F.size(F.filter(split, lambda x: F.trim(F.regexp_replace(x, r"[\t\r\x0B\f]", " ")) != ""))
+    full = F.size(F.filter(split, lambda x: x.rlike(r"\S")))
     kept = kept_lines(docs, similarity).withColumnRenamed("doc_id", "__fw_id")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), full.alias("n_lines")).join(kept, F.col("doc_id").eqNullSafe(F.col("__fw_id")), "left")
     lists = F.coalesce("lines", F.array().cast("array<int>"))
@@ -113,7 +148,7 @@ def line_dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     kept = kept_lines(docs, similarity).select(F.col("doc_id").alias("__fw_id"), F.col("lines").alias("__fw_lines"))
     both = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__fw_id")), "left").drop("__fw_id")
     split = F.split("text", "\n", -1)
-    blank = lambda x: F.trim(F.regexp_replace(x, r"[\t\r\x0B\f]", " ")) == ""
+    blank = lambda x: ~x.rlike(r"\S")
     both = both.withColumn("__fw_split", split)
     blanks = F.filter(F.transform("__fw_split", lambda x, i: F.when(blank(x), i)), lambda i: i.isNotNull())
     left = F.transform(F.array_sort(F.array_union("__fw_lines", blanks)), lambda i: F.get("__fw_split", i))
