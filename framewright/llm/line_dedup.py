@@ -23,6 +23,8 @@ ANCHORED, SHINGLE = 10, 5
 LONGEST = 16
 SIMILARITY = 0.8
 BANDS, ROWS = 7, 3
+#: Minima that must agree; lines at the least similarity agree in over half.
+AGREEING = 10
 #: Neighbours, in the order of a band, that a line is compared with besides the band's first line.
 NEIGHBOURS = 2
 #: Words of 64 bits of the filter that passes over lines of no pair; its size does not depend on the data.
@@ -44,8 +46,9 @@ def sampled_shingles(line: Column, parts: Column) -> Column:
 
 
 def shingles(line: Column) -> Column:
-    """Distinct shingles of SHINGLE characters; a shorter line is its own shingle."""
-    return F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(F.array_distinct(F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))))
+    """Distinct shingles of SHINGLE characters, each as its hash of 64 bits; a shorter line is its own shingle."""
+    every = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))
+    return F.array_distinct(F.transform(F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(every), lambda s: F.xxhash64(s)))
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -65,9 +68,10 @@ def _split_place(place: str) -> list[Column]:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, meta, b0, b1, ...) of each distinct line: its first place, and a hash for each band of its signature.
+    """(doc_id, meta, more, b0, b1, ...) of each distinct line: its first place, and a hash for each band of its signature.
 
-    meta has the logarithm of the line's length in 11 bits, a bit of each minimum in 21, and the line number in 32.
+    more has three bits of each minimum; meta has the logarithm of the line's length in 11 bits, 21 bits of more, and
+    the line number in 32.
     """
     hashes = [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")]
     cut = lines(docs).withColumn("parts", pieces(F.col("line")))
@@ -76,11 +80,19 @@ def signatures(docs: DataFrame) -> DataFrame:
     rows = cut.select("h1", "h2", "n", "place", F.posexplode_outer("all").alias("pos", "s"))
     rows = rows.select("h1", "h2", "n", F.hash(F.substring("s", 1, LONGEST)).alias("x"), F.when(F.col("pos") == 0, F.col("place")).alias("place"))
     sign = rows.groupBy("h1", "h2").agg(F.max("n").alias("n"), F.min("place").alias("place"), *(F.min(F.col("x").bitwiseXOR(F.lit(c))).alias(f"m{i}") for i, c in enumerate(_SEEDS)))
-    bits = sum((F.col(f"m{i}").bitwiseAND(F.lit(1)).cast("long") * F.lit(1 << (32 + i)) for i in range(BANDS * ROWS)), F.lit(0).cast("long"))
+    more = reduce(Column.bitwiseOR, (F.shiftleft(F.col(f"m{i}").bitwiseAND(F.lit(7)).cast("long"), 3 * i) for i in range(BANDS * ROWS)))
     long = F.least(F.lit(1023), F.floor(F.log2("n") * 32)).cast("long") * F.lit(1 << 53)
     bands = [F.xxhash64(F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))).alias(f"b{b}") for b in range(BANDS)]
     doc_id, line_no = _split_place("place")
-    return sign.select(doc_id, (long + bits + line_no.cast("long")).alias("meta"), *bands)
+    sign = sign.select("n", "place", more.alias("more"), *bands)
+    return sign.select(doc_id, "more", (long + F.shiftleft(F.col("more").bitwiseAND(F.lit((1 << 21) - 1)), 32) + line_no.cast("long")).alias("meta"), *(f"b{b}" for b in range(BANDS)))
+
+
+def _differing(k: int) -> Column:
+    """How many minima of a line and of its neighbour k differ in a bit that is kept."""
+    apart = F.col("more").bitwiseXOR(F.col(f"w{k}"))
+    apart = apart.bitwiseOR(F.shiftright(apart, 1)).bitwiseOR(F.shiftright(apart, 2))
+    return F.bit_count(apart.bitwiseAND(F.lit(sum(1 << 3 * i for i in range(BANDS * ROWS)))))
 
 
 def kept_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -91,14 +103,13 @@ def kept_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     are not considered and not listed. Rows that share a doc_id are one document; a null doc_id comes last.
     """
     found = materialize(signatures(docs), "line-signatures")
-    placed = found.select("doc_id", "meta", F.explode(F.array(*(f"b{b}" for b in range(BANDS)))).alias("band"))
+    placed = found.select("doc_id", "meta", "more", F.explode(F.array(*(f"b{b}" for b in range(BANDS)))).alias("band"))
     order = Window.partitionBy("band").orderBy("meta", "doc_id")
     other = lambda c, k: F.lag(c, k).over(order) if k else F.first(c).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    near = [(other("doc_id", k).alias(f"d{k}"), other("meta", k).alias(f"o{k}")) for k in range(NEIGHBOURS + 1)]
-    ranked = placed.select("doc_id", "meta", *(c for pair in near for c in pair))
-    # Alike: lengths within a factor of two, and enough equal bits of the minima for sets that share half.
-    bits = ((1 << BANDS * ROWS) - 1) << 32
-    alike = [F.col(f"o{k}").isNotNull() & ((F.col("doc_id") != F.col(f"d{k}")) | (F.col("meta") != F.col(f"o{k}"))) & (F.shiftright("meta", 53) - F.shiftright(f"o{k}", 53) <= 32) & (F.bit_count(F.col("meta").bitwiseXOR(F.col(f"o{k}")).bitwiseAND(F.lit(bits))) <= BANDS * ROWS // 2 - 2) for k in range(NEIGHBOURS + 1)]
+    near = [(other("doc_id", k).alias(f"d{k}"), other("meta", k).alias(f"o{k}"), other("more", k).alias(f"w{k}")) for k in range(NEIGHBOURS + 1)]
+    ranked = placed.select("doc_id", "meta", "more", *(c for pair in near for c in pair))
+    # Alike: lengths within a factor of two, and enough minima that agree in all three of their bits.
+    alike = [F.col(f"o{k}").isNotNull() & ((F.col("doc_id") != F.col(f"d{k}")) | (F.col("meta") != F.col(f"o{k}"))) & (F.shiftright("meta", 53) - F.shiftright(f"o{k}", 53) <= 32) & (_differing(k) <= BANDS * ROWS - AGREEING) for k in range(NEIGHBOURS + 1)]
     got = F.filter(F.array(*(F.when(a, F.struct(F.col(f"d{k}").alias("doc_id"), F.col(f"o{k}").alias("meta"))) for k, a in enumerate(alike))), lambda x: x.isNotNull())
     pairs = ranked.where(reduce(or_, alike)).select("doc_id", "meta", F.explode(got).alias("o"))
     number = lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1))
@@ -120,14 +131,14 @@ def verified(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     marks = needed.groupBy(word.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(xxhash64(doc_id, line_no), 64L) as int))")).alias("marks"))
     own = lines(docs).withColumn("word", word).withColumn("bit", bit).join(F.broadcast(marks), "word")
     own = own.where(F.expr("(shiftright(marks, bit) & 1L) = 1L")).select("doc_id", "line_no", "line")
-    texts = materialize(own.join(needed, ["doc_id", "line_no"]).select("place", "line").dropDuplicates(["place"]), "line-texts")
+    # Joined and made distinct by the same columns, so that texts move once.
+    texts = own.join(needed, ["doc_id", "line_no"]).dropDuplicates(["doc_id", "line_no"])
+    texts = materialize(texts.select("place", "line"), "line-texts")
     at = lambda c: texts.select(F.col("place").alias(c), F.col("line").alias(f"line_{c}"))
-    both = pairs.join(at("a"), "a").join(at("b"), "b")
-    # One expression, so that each set is made once, wherever the filter ends up.
-    sets = F.array(F.struct(shingles(F.col("line_a")).alias("a"), shingles(F.col("line_b")).alias("b")))
-    sizes = F.transform(sets, lambda s: F.struct(F.size(F.array_intersect(s["a"], s["b"])).alias("common"), (F.size(s["a"]) + F.size(s["b"])).alias("total")))
-    jaccard = F.get(F.transform(sizes, lambda s: s["common"] / (s["total"] - s["common"])), F.lit(0))
-    return both.where(jaccard >= similarity - 1e-12).select("a", "b")
+    sets = pairs.join(at("a"), "a").join(at("b"), "b").select("a", "b", shingles(F.col("line_a")).alias("x"), shingles(F.col("line_b")).alias("y"))
+    # Written before it is filtered: a filter moved below would make the sets again.
+    sizes = materialize(sets.select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("total")), "line-overlaps")
+    return sizes.where(F.col("common") / (F.col("total") - F.col("common")) >= similarity - 1e-12).select("a", "b")
 
 
 def line_report(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
