@@ -86,6 +86,21 @@ def ulaw_decoded(code: Column) -> Column:
     return F.when(plain >= 128, -size).otherwise(size)
 
 
+def alaw_encoded(x: Column) -> Column:
+    """G.711 A-law byte of a 16-bit sample: sign, exponent, mantissa, every other bit inverted."""
+    size = F.shiftright(F.when(x < 0, -x - 1).otherwise(x), 4)
+    exponent = sum(((size >= (16 << i)).cast("int") for i in range(7)), F.lit(0))
+    mantissa = F.call_function("shiftright", size, F.greatest(exponent - 1, F.lit(0))).bitwiseAND(F.lit(15))
+    return (F.when(x < 0, 0).otherwise(128) + exponent * 16 + mantissa).bitwiseXOR(F.lit(0x55))
+
+
+def alaw_decoded(code: Column) -> Column:
+    plain = code.bitwiseXOR(F.lit(0x55))
+    exponent, mantissa = F.shiftright(plain, 4).bitwiseAND(F.lit(7)), plain.bitwiseAND(F.lit(15))
+    size = F.when(exponent == 0, mantissa * 16 + 8).otherwise(F.call_function("shiftleft", mantissa * 16 + 264, F.greatest(exponent - 1, F.lit(0))))
+    return F.when(plain >= 128, size).otherwise(-size)
+
+
 def rescaled(value: str, source: str | int, target: str | int) -> Column:
     """Ticks of one clock (names of columns, or constants) in those of another, rounded half up, in whole numbers."""
     return F.expr(f"cast((cast({value} as decimal(20,0)) * {target} + {source} div 2) div {source} as bigint)")

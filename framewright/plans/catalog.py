@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from framewright.functions import pcm, text
-from framewright.operators import channels, integrity, quality, tags, timeline
+from framewright.functions import pcm, sealing, text
+from framewright.operators import channels, framed, integrity, quality, resample, tags, timeline
 from framewright.plans import adapt
 from framewright.plans.adapt import EDITS, INDEX, INTS, ORDER, PAIRS, PLANES, SAMPLES, table
 
@@ -496,3 +496,42 @@ def path_discovery(spark, sf):
     path = F.lower("url")
     found = table(spark, sf, "pages").where(path.contains("http") & path.contains("/"))
     return found.groupBy(path.alias("path")).agg(F.min("page_id").alias("page_id")).orderBy("path")
+
+
+@query(f"""WITH {SAMPLES}, {INTS}, s AS (SELECT event_id, i16, (CASE WHEN i16 < 0 THEN -i16 - 1 ELSE i16 END) >> 4 AS s FROM ints),
+e AS (SELECT *, CASE WHEN s < 16 THEN 0 ELSE CAST(floor(log2(s)) AS INTEGER) - 3 END AS ex FROM s),
+c AS (SELECT *, (s >> greatest(ex - 1, 0)) & 15 AS ma FROM e)
+SELECT event_id, CAST(xor((CASE WHEN i16 < 0 THEN 0 ELSE 128 END) + ex * 16 + ma, 85) AS INTEGER) AS code,
+ CAST((CASE WHEN i16 < 0 THEN -1 ELSE 1 END) * (CASE WHEN ex = 0 THEN ma * 16 + 8 ELSE (ma * 16 + 264) * CAST(pow(2, ex - 1) AS INTEGER) END) AS INTEGER) AS decoded FROM c""")
+def alaw_roundtrip(spark, sf):
+    coded = _ints(spark, sf).select("event_id", pcm.alaw_encoded(F.col("i16")).cast("int").alias("code"))
+    return coded.select("event_id", "code", pcm.alaw_decoded(F.col("code")).cast("int").alias("decoded"))
+
+
+@query(f"""WITH {SAMPLES}, n AS (SELECT stream_id, max(frame) + 1 AS n FROM samples GROUP BY ALL),
+o AS (SELECT stream_id, unnest(range(0, (n * 160 + 146) // 147)) AS out_frame FROM n), p AS (SELECT *, out_frame * 147 // 160 AS pos, (out_frame * 147 % 160) / 160.0::DOUBLE AS rest FROM o),
+t AS (SELECT p.stream_id, out_frame, x, rest - (frame - pos) AS d FROM p JOIN samples s ON s.stream_id = p.stream_id AND s.frame > p.pos - 17 AND s.frame < p.pos + 18)
+SELECT stream_id, out_frame, round(sum(CASE WHEN abs(d) >= 16 THEN 0 ELSE x * (0.5 + 0.5 * cos(pi() * d / 16)) * CASE WHEN d = 0 THEN 1 ELSE sin(pi() * d) / (pi() * d) END END), 6) AS x FROM t GROUP BY ALL""")
+def sinc_resample(spark, sf):
+    return resample.sinc_resampled(adapt.samples(spark, sf), "stream_id", 44100, 48000).withColumn("x", F.round("x", 6))
+
+
+_LINES = "string_split(coalesce(text, ''), chr(10))"
+
+
+@query(f"""WITH l AS (SELECT doc_id AS stream_id, unnest({_LINES}) AS line, generate_subscripts({_LINES}, 1) - 1 AS frame FROM documents)
+SELECT stream_id, frame, strlen(line) AS n_bytes, sha256(line) AS digest, CAST(NULL AS VARCHAR) AS error FROM l""")
+def frame_stream_state(spark, sf):
+    docs = table(spark, sf, "documents")
+    streams = docs.select(F.col("doc_id").alias("stream_id"), framed.framed(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("data"))
+    got = framed.frames_of(framed.chunks(streams, 1000))
+    return got.select("stream_id", "frame", F.octet_length("payload").cast("long").alias("n_bytes"), F.sha2("payload", 256).alias("digest"), "error")
+
+
+@query("SELECT doc_id, strlen(coalesce(text, '')) AS n_bytes, 16 AS added, sha256(coalesce(text, '')) AS digest FROM documents")
+def chacha_roundtrip(spark, sf):
+    key = bytes(range(32))
+    plain = table(spark, sf, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("plain"))
+    hidden = plain.select("doc_id", F.octet_length("plain").alias("n"), sealing.sealed(key, F.col("plain"), F.col("doc_id")).alias("sealed"))
+    back = hidden.select("doc_id", (F.octet_length("sealed") - F.col("n")).alias("added"), sealing.opened(key, F.col("sealed"), F.col("doc_id")).alias("plain"))
+    return back.select("doc_id", F.octet_length("plain").cast("long").alias("n_bytes"), "added", F.sha2("plain", 256).alias("digest"))

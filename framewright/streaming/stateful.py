@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from framewright.operators.framed import FRAMES, LARGEST, cut
+
 WRAP = 1 << 33
 
 
@@ -45,31 +47,18 @@ def continuity_stream(packets: DataFrame, modulus: int = 16) -> DataFrame:
     return packets.groupBy("stream_id").applyInPandasWithState(run, "stream_id long, seq long, duplicate boolean, gap boolean", "last long", "append", GroupStateTimeout.NoTimeout)
 
 
-def frames_stream(chunks: DataFrame, most: int = 1 << 20) -> DataFrame:
+def frames_stream(chunks: DataFrame, most: int = LARGEST) -> DataFrame:
     """chunks(stream_id, seq, data) as length-prefixed frames (32-bit, big-endian); state: bytes of a frame that has begun.
 
     A frame of more than `most` bytes ends its stream with a row whose error says so; no state outgrows that bound.
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, number, dead = state.get if state.exists else (b"", 0, False)
-        out = []
-        for data in pd.concat(list(frames)).sort_values("seq")["data"]:
-            held = b"" if dead else held + bytes(data)
-            while not dead and len(held) >= 4:
-                size = int.from_bytes(held[:4], "big")
-                if size > most:
-                    out.append((key[0], number, None, f"a frame of {size} bytes"))
-                    held, dead = b"", True
-                elif len(held) < 4 + size:
-                    break
-                else:
-                    out.append((key[0], number, held[4 : 4 + size], None))
-                    held, number = held[4 + size :], number + 1
-        state.update((held, number, dead))
-        yield pd.DataFrame(out, columns=["stream_id", "frame", "payload", "error"])
-
-    return chunks.groupBy("stream_id").applyInPandasWithState(run, "stream_id long, frame long, payload binary, error string", "held binary, number long, dead boolean", "append", GroupStateTimeout.NoTimeout)
+        left, out = cut(state.get if state.exists else (b"", 0, False), pd.concat(list(frames)).sort_values("seq")["data"], most)
+        state.update(left)
+        yield pd.DataFrame([(key[0], *r) for r in out], columns=["stream_id", "frame", "payload", "error"])
+
+    return chunks.groupBy("stream_id").applyInPandasWithState(run, FRAMES, "held binary, number long, dead boolean", "append", GroupStateTimeout.NoTimeout)
 
 
 def windowed_quality(pairs: DataFrame, delay: str = "10 minutes", width: str = "5 minutes") -> DataFrame:

@@ -4,8 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from framewright.functions import pcm, text
-from framewright.operators import quality, timeline
+from framewright.functions import pcm, sealing, text
+from framewright.operators import framed, quality, resample, timeline
 from framewright.sources import aiff, manifest, ogg, wav
 from framewright.streaming import stateful
 
@@ -140,3 +140,42 @@ def test_frame_stream_over_cuts(spark, tmp_path):
     q = stateful.frames_stream(stream).writeStream.format("memory").queryName("frames").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     assert [bytes(r["payload"]) for r in spark.table("frames").orderBy("frame").collect()] == payloads
+
+
+def test_alaw_round_trip_is_within_a_step(spark):
+    got = spark.range(-32768, 32768, 7).select(F.col("id").cast("int").alias("x")).select("x", pcm.alaw_decoded(pcm.alaw_encoded(F.col("x"))).alias("y")).toPandas()
+    assert (abs(got["x"] - got["y"]) <= np.maximum(16, abs(got["x"]) / 32 + 1)).all()
+    assert one(spark, pcm.alaw_encoded(F.lit(0))) == 0xD5
+
+
+def test_sealing_follows_the_standard_vector():
+    # Section 2.8.2 of RFC 8439.
+    key, nonce = bytes(range(0x80, 0xA0)), bytes.fromhex("070000004041424344454647")
+    plain = b"Ladies and Gentlemen of the class of '99: If I could offer you only one tip for the future, sunscreen would be it."
+    (got,) = sealing.seal(key, [nonce], [plain], bytes.fromhex("50515253c0c1c2c3c4c5c6c7"))
+    assert got[-16:].hex() == "1ae10b594f09e26a7e902ecbd0600691" and got[:8].hex() == "d31a8d34648e60db"
+    assert sealing.unseal(key, [nonce] * 3, [got, got[:-1] + b"x", b"short"], bytes.fromhex("50515253c0c1c2c3c4c5c6c7")) == [plain, None, None]
+    assert sealing.seal(key, [], []) == []
+
+
+def test_sealed_nulls_and_empties(spark):
+    rows = spark.createDataFrame([(1, None), (2, b""), (3, b"x" * 200)], "n long, p binary")
+    got = rows.select("n", "p", sealing.sealed(bytes(32), F.col("p"), F.col("n")).alias("s")).select("p", sealing.opened(bytes(32), F.col("s"), F.col("n")).alias("q")).collect()
+    assert all(r["p"] == r["q"] for r in got)
+
+
+def test_resampled_tone(spark):
+    tone = lambda n, rate: np.sin(2 * np.pi * 440 * np.arange(n) / rate)
+    for source, target in ((44100, 48000), (48000, 16000)):
+        rows = spark.createDataFrame([(1, i, float(v)) for i, v in enumerate(tone(3000, source))], "stream_id long, frame long, x double")
+        whole = [r["x"] for r in resample.sinc_resampled(rows, "stream_id", source, target).orderBy("out_frame").collect()]
+        parts = [r["x"] for r in resample.sinc_resampled(rows, "stream_id", source, target, block=100).orderBy("out_frame").collect()]
+        assert len(whole) == -(-3000 * target // source) and np.allclose(whole, parts, atol=1e-12)
+        assert np.abs(np.array(whole) - tone(len(whole), target))[60:-60].max() < 5e-3
+    assert resample.sinc_resampled(rows.limit(0), "stream_id", 1, 2).count() == 0
+
+
+def test_frames_without_an_end(spark):
+    rows = spark.createDataFrame([(1, 0, b"\0\0\0\2ab\0\0"), (1, 1, b"\0\1"), (2, 0, b"\xff\0\0\0zz")], "stream_id long, seq long, data binary")
+    got = sorted((r["stream_id"], r["frame"], r["payload"], bool(r["error"])) for r in framed.frames_of(rows).collect())
+    assert got == [(1, 0, b"ab", False), (1, 1, None, True), (2, 0, None, True)]
