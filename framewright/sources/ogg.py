@@ -80,7 +80,7 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for p, data in zip(f["path"], f["content"], strict=True):
-                yield pd.DataFrame([{"path": p} | {k: v for k, v in x.items() if k in names} for x in pages(bytes(data))], columns=names)
+                yield pd.DataFrame([{"path": p} | {k: v for k, v in x.items() if k in names} for x in pages(bytes(data))], columns=names, dtype=object)
 
     source = spark.read.format("binaryFile").option("pathGlobFilter", "*.{ogg,oga,opus}").option("recursiveFileLookup", "true").load(path)
     return source.select("path", "content").mapInPandas(run, PAGES)
