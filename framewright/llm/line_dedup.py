@@ -22,9 +22,9 @@ ANCHORED, SHINGLE = 10, 5
 #: Characters of a sampled shingle that count.
 LONGEST = 16
 SIMILARITY = 0.8
-BANDS, ROWS = 7, 3
-#: Minima that must agree; lines at the least similarity agree in over half.
-AGREEING = 10
+BANDS, ROWS = 10, 2
+#: Minima that must agree; lines at the least similarity agree in about half of the sampled shingles, hence bands of two rows.
+AGREEING = 9
 #: Neighbours, in the order of a band, that a line is compared with besides the band's first line.
 NEIGHBOURS = 2
 #: Words of 64 bits of the filter that passes over lines of no pair; its size does not depend on the data.
