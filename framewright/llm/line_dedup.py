@@ -1,50 +1,34 @@
 """Fuzzy line dedup by MinHash, in DataFrame expressions alone.
 
-Signatures are over shingles of the characters from one anchor on, up to the next: a sample of a line's shingles
-that depends on its characters alone, as anchors are words by their first letter. Lines with few anchors, or far
-between, give all their shingles.
-Lines that share a band are candidates; they are verified by the exact Jaccard similarity of all their shingles of
-SHINGLE characters. Distributed union-find then keeps one line of each component.
+Signatures are minima over all shingles of SHINGLE characters, the ones that the exact Jaccard similarity compares.
+Lines that share a band are candidates. Each is verified against its band's first line and the neighbours before it.
+Distributed union-find then keeps one line of each component.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.llm.common import connected_components, materialize
 
-#: Characters of the shingles that signatures sample, and of those that are compared exactly.
-ANCHORED, SHINGLE = 10, 5
-#: Characters of a sampled shingle that count.
-LONGEST = 16
+#: Characters of a shingle, for signatures and for the exact comparison.
+SHINGLE = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 10, 2
-#: Minima that must agree; lines at the least similarity agree in about half of the sampled shingles, hence bands of two rows.
-AGREEING = 9
-#: Neighbours, in the order of a band, that a line is compared with besides the band's first line.
+#: Minima in a band. A signature has the square of it, in a grid; a band is one of its lines: those of one slope
+#: (modulo ROWS) have all minima once, and two lines share one at most.
+ROWS, SLOPES = 5, 4
+MINIMA, BANDS = ROWS * ROWS, ROWS * SLOPES
+#: Shingles that a line is parted into at a time.
+PART = 64
+#: Neighbours, in the order of a band, that a line is compared with first, besides the band's first line.
 NEIGHBOURS = 2
 #: Words of 64 bits of the filter that passes over lines of no pair; its size does not depend on the data.
 FILTER_WORDS = 1 << 18
-_SEEDS = [(0x9E3779B1 * (i + 1) * (2 * i + 1)) % (1 << 32) - (1 << 31) for i in range(BANDS * ROWS)]
+_FACTORS = [(0x9E3779B1 * (i + 1) * (2 * i + 1)) % (1 << 31) | 1 for i in range(MINIMA)]
 _NO_ID = (1 << 63) - 1
 
 
-def pieces(line: Column) -> Column:
-    """Parts of a line from one anchor to the next: words that begin with another letter than these, about half of all."""
-    return F.split(line, r" (?=[^aceikmoqsuwyAEIMOSTU\s])", -1)
-
-
-def sampled_shingles(line: Column, parts: Column) -> Column:
-    """The parts of a line; of a line with few or unusual ones, all shingles of ANCHORED characters."""
-    every = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{ANCHORED}}}))"), F.lit(1))
-    usual = (F.size(parts) >= 6) & (F.size(parts) * 25 >= F.length(line))
-    return F.when(usual, parts).when(F.length(line) <= ANCHORED, F.array(line)).otherwise(every)
-
-
 def shingles(line: Column) -> Column:
     """Distinct shingles of SHINGLE characters, each as its hash of 64 bits; a shorter line is its own shingle."""
     every = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))
@@ -67,32 +51,23 @@ def _split_place(place: str) -> list[Column]:
     return [F.expr(f"cast({place} div cast(4294967296 as decimal(11,0)) as long)").alias("doc_id"), F.expr(f"cast({place} % cast(4294967296 as decimal(11,0)) as int)").alias("line_no")]
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, meta, more, b0, b1, ...) of each distinct line: its first place, and a hash for each band of its signature.
+def bands() -> list[list[int]]:
+    """The minima of each band."""
+    return [[x * ROWS + (slope * x + c) % ROWS for x in range(ROWS)] for slope in range(SLOPES) for c in range(ROWS)]
 
-    more has three bits of each minimum; meta has the logarithm of the line's length in 11 bits, 21 bits of more, and
-    the line number in 32.
-    """
-    hashes = [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")]
-    cut = lines(docs).withColumn("parts", pieces(F.col("line")))
-    # Each line is hashed before its shingles part it into rows.
-    cut = cut.select(*hashes, F.length("line").alias("n"), _place().alias("place"), sampled_shingles(F.col("line"), F.col("parts")).alias("all"))
-    rows = cut.select("h1", "h2", "n", "place", F.posexplode_outer("all").alias("pos", "s"))
-    rows = rows.select("h1", "h2", "n", F.hash(F.substring("s", 1, LONGEST)).alias("x"), F.when(F.col("pos") == 0, F.col("place")).alias("place"))
-    sign = rows.groupBy("h1", "h2").agg(F.max("n").alias("n"), F.min("place").alias("place"), *(F.min(F.col("x").bitwiseXOR(F.lit(c))).alias(f"m{i}") for i, c in enumerate(_SEEDS)))
-    more = reduce(Column.bitwiseOR, (F.shiftleft(F.col(f"m{i}").bitwiseAND(F.lit(7)).cast("long"), 3 * i) for i in range(BANDS * ROWS)))
-    long = F.least(F.lit(1023), F.floor(F.log2("n") * 32)).cast("long") * F.lit(1 << 53)
-    bands = [F.xxhash64(F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))).alias(f"b{b}") for b in range(BANDS)]
-    doc_id, line_no = _split_place("place")
-    sign = sign.select("n", "place", more.alias("more"), *bands)
-    return sign.select(doc_id, "more", (long + F.shiftleft(F.col("more").bitwiseAND(F.lit((1 << 21) - 1)), 32) + line_no.cast("long")).alias("meta"), *(f"b{b}" for b in range(BANDS)))
-
-
-def _differing(k: int) -> Column:
-    """How many minima of a line and of its neighbour k differ in a bit that is kept."""
-    apart = F.col("more").bitwiseXOR(F.col(f"w{k}"))
-    apart = apart.bitwiseOR(F.shiftright(apart, 1)).bitwiseOR(F.shiftright(apart, 2))
-    return F.bit_count(apart.bitwiseAND(F.lit(sum(1 << 3 * i for i in range(BANDS * ROWS)))))
+
+def signatures(docs: DataFrame) -> DataFrame:
+    """(doc_id, line_no, n, b0, b1, ...) of each distinct line: its first place, its length, and a hash for each band."""
+    # Each line is hashed before it is parted, first in parts that overlap, as finding a character goes through those before it.
+    cut = lines(docs).select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), F.length("line").alias("n"), _place().alias("place"), "line")
+    upto = lambda n, step: F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), n - SHINGLE), F.lit(step)))
+    own = ["h1", "h2", "n", "place"]
+    cut = cut.select(*own, "line", upto(F.col("n"), PART).alias("at")).select(*own, F.substring("line", F.col("at") + 1, F.lit(PART + SHINGLE - 1)).alias("part"))
+    rows = cut.select(*own, "part", upto(F.length("part"), 1).alias("at"))
+    rows = rows.select(*own, F.hash(F.substring("part", F.col("at") + 1, F.lit(SHINGLE))).bitwiseAND(F.lit((1 << 31) - 1)).cast("long").alias("x"))
+    least = [F.min((F.col("x") * F.lit(c)).bitwiseAND(F.lit((1 << 32) - 1))).alias(f"m{i}") for i, c in enumerate(_FACTORS)]
+    sign = rows.groupBy("h1", "h2").agg(F.max("n").alias("n"), F.min("place").alias("place"), *least)
+    return sign.select(*_split_place("place"), "n", *(F.xxhash64(F.lit(b), *(f"m{i}" for i in own)).alias(f"b{b}") for b, own in enumerate(bands())))
 
 
 def kept_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -103,28 +78,21 @@ def kept_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     are not considered and not listed. Rows that share a doc_id are one document; a null doc_id comes last.
     """
     found = materialize(signatures(docs), "line-signatures")
-    placed = found.select("doc_id", "meta", "more", F.explode(F.array(*(f"b{b}" for b in range(BANDS)))).alias("band"))
-    order = Window.partitionBy("band").orderBy("meta", "doc_id")
-    other = lambda c, k: F.lag(c, k).over(order) if k else F.first(c).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    near = [(other("doc_id", k).alias(f"d{k}"), other("meta", k).alias(f"o{k}"), other("more", k).alias(f"w{k}")) for k in range(NEIGHBOURS + 1)]
-    ranked = placed.select("doc_id", "meta", "more", *(c for pair in near for c in pair))
-    # Alike: lengths within a factor of two, and enough minima that agree in all three of their bits.
-    alike = [F.col(f"o{k}").isNotNull() & ((F.col("doc_id") != F.col(f"d{k}")) | (F.col("meta") != F.col(f"o{k}"))) & (F.shiftright("meta", 53) - F.shiftright(f"o{k}", 53) <= 32) & (_differing(k) <= BANDS * ROWS - AGREEING) for k in range(NEIGHBOURS + 1)]
-    got = F.filter(F.array(*(F.when(a, F.struct(F.col(f"d{k}").alias("doc_id"), F.col(f"o{k}").alias("meta"))) for k, a in enumerate(alike))), lambda x: x.isNotNull())
-    pairs = ranked.where(reduce(or_, alike)).select("doc_id", "meta", F.explode(got).alias("o"))
-    number = lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1))
-    both = [_place("doc_id", number("meta")).alias("x"), _place("o.doc_id", number("o.meta")).alias("y")]
-    pairs = materialize(pairs.select(*both).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "line-pairs")
+    placed = found.select(_place().alias("place"), "n", F.explode(F.array(*(f"b{b}" for b in range(BANDS)))).alias("band"))
+    order = Window.partitionBy("band").orderBy("n", "place")
+    near = F.array(F.first("place").over(order.rowsBetween(Window.unboundedPreceding, 0)), *(F.lag("place", k + 1).over(order) for k in range(NEIGHBOURS)))
+    pairs = placed.select(F.col("place").alias("x"), near.alias("near")).select("x", F.explode("near").alias("y")).where("y is not null and x <> y")
+    pairs = materialize(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "line-pairs")
     joined = connected_components(verified(docs, pairs, similarity))
     gone = joined.where("node <> root").select(*_split_place("node"))
-    kept = found.select("doc_id", number("meta").cast("int").alias("line_no")).join(gone, ["doc_id", "line_no"], "left_anti")
+    kept = found.select("doc_id", "line_no").join(gone, ["doc_id", "line_no"], "left_anti")
     kept = kept.groupBy("doc_id").agg(F.array_sort(F.collect_list("line_no")).alias("lines"))
     return kept.select(F.when(F.col("doc_id") != _NO_ID, F.col("doc_id")).alias("doc_id"), "lines")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """Of the pairs (a, b) of places, those of lines whose exact Jaccard similarity is high enough."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("place")).distinct().select("place", *_split_place("place"))
+def texts_at(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """(place, line) of the distinct places."""
+    needed = places.select("place", *_split_place("place"))
     # A table of hashed bits, of a fixed size however many lines there are, lets most other lines be passed over.
     h = F.xxhash64("doc_id", "line_no")
     word, bit = F.pmod(F.shiftright(h, 6), F.lit(FILTER_WORDS)), F.pmod(h, F.lit(64)).cast("int")
@@ -133,7 +101,12 @@ def verified(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     own = own.where(F.expr("(shiftright(marks, bit) & 1L) = 1L")).select("doc_id", "line_no", "line")
     # Joined and made distinct by the same columns, so that texts move once.
     texts = own.join(needed, ["doc_id", "line_no"]).dropDuplicates(["doc_id", "line_no"])
-    texts = materialize(texts.select("place", "line"), "line-texts")
+    return texts.select("place", "line")
+
+
+def verified(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """Of the pairs (a, b) of places, those of lines whose exact Jaccard similarity is high enough."""
+    texts = materialize(texts_at(docs, pairs.select(F.explode(F.array("a", "b")).alias("place")).distinct()), "line-texts")
     at = lambda c: texts.select(F.col("place").alias(c), F.col("line").alias(f"line_{c}"))
     sets = pairs.join(at("a"), "a").join(at("b"), "b").select("a", "b", shingles(F.col("line_a")).alias("x"), shingles(F.col("line_b")).alias("y"))
     # Written before it is filtered: a filter moved below would make the sets again.

@@ -207,6 +207,30 @@ def test_lines_against_all_pairs(spark):
     assert len(got - want) <= max(2, 0.05 * (len(all_lines) - len(want)))
 
 
+def line_pairs_found(spark, pairs):
+    """Share of the pairs of lines, each of Jaccard 0.8 or more, of which one line goes."""
+    rows = [(2 * i + k, x) for i, p in enumerate(pairs) for k, x in enumerate(p)]
+    got = {r["doc_id"] for r in line_dedup.kept_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {2 * i for i in range(len(pairs))} <= got
+    return np.mean([2 * i + 1 not in got for i in range(len(pairs))])
+
+
+def jaccard(a, b):
+    x, y = ({t[i : i + 5] for i in range(max(1, len(t) - 4))} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_lines_of_few_pieces_with_a_word_less(spark):
+    rng, pairs = np.random.default_rng(21), []
+    while len(pairs) < 400:
+        words = prose(int(rng.integers(1 << 40)), int(rng.integers(7, 16))).split()
+        at = int(rng.integers(len(words)))
+        a, b = " ".join(words), " ".join(words[:at] + words[at + 1 :])
+        if jaccard(a, b) >= 0.8 and (len(a.split(" ")) < 9 or len(a) < 70):
+            pairs.append((a, b))
+    assert line_pairs_found(spark, pairs) >= 0.98
+
+
 def test_line_dedup_text(spark):
     a, b = prose(11, 30), prose(12, 30)
     docs = spark.createDataFrame([(1, f"{a}\n\n{b}", 1), (2, f"{b}x\n{prose(13, 20)}", 1), (3, a, 1), (4, None, 1), (5, "", 1)], "doc_id long, text string, lines int")
