@@ -231,6 +231,10 @@ def test_lines_of_few_pieces_with_a_word_less(spark):
     assert line_pairs_found(spark, pairs) >= 0.98
 
 
+def test_lines_of_one_repeated_phrase_are_alike(spark):
+    assert line_pairs_found(spark, [("=" * 12, "=" * 80), ("ab, cd; " * 4, "ab, cd; " * 30)]) == 1
+
+
 def test_line_dedup_text(spark):
     a, b = prose(11, 30), prose(12, 30)
     docs = spark.createDataFrame([(1, f"{a}\n\n{b}", 1), (2, f"{b}x\n{prose(13, 20)}", 1), (3, a, 1), (4, None, 1), (5, "", 1)], "doc_id long, text string, lines int")
