@@ -1,8 +1,10 @@
 """Fuzzy line dedup by MinHash, in DataFrame expressions alone.
 
 Signatures are minima over all shingles of SHINGLE characters, the ones that the exact Jaccard similarity compares.
-Lines that share a band are candidates. Each is verified against its band's first line and the neighbours before it.
-Distributed union-find then keeps one line of each component.
+Lines that share a band are candidates. Each is verified against its band's first line and the neighbours before it;
+where a band still holds lines of several components, all its pairs across components are verified too, in crowded
+bands those that a prefix filter cannot rule out, which drops no pair that is alike enough. Distributed union-find
+then keeps one line of each component.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ MINIMA, BANDS = ROWS * ROWS, ROWS * SLOPES
 PART = 64
 #: Neighbours, in the order of a band, that a line is compared with first, besides the band's first line.
 NEIGHBOURS = 2
+#: Lines of a band beyond which its pairs are found by a prefix filter.
+CROWDED = 64
 #: Words of 64 bits of the filter that passes over lines of no pair; its size does not depend on the data.
 FILTER_WORDS = 1 << 18
 _FACTORS = [(0x9E3779B1 * (i + 1) * (2 * i + 1)) % (1 << 31) | 1 for i in range(MINIMA)]
@@ -81,15 +85,54 @@ def kept_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     placed = found.select(_place().alias("place"), "n", F.explode(F.array(*(f"b{b}" for b in range(BANDS)))).alias("band"))
     order = Window.partitionBy("band").orderBy("n", "place")
     near = F.array(F.first("place").over(order.rowsBetween(Window.unboundedPreceding, 0)), *(F.lag("place", k + 1).over(order) for k in range(NEIGHBOURS)))
-    pairs = placed.select(F.col("place").alias("x"), near.alias("near")).select("x", F.explode("near").alias("y")).where("y is not null and x <> y")
+    ranked = placed.select("place", "band", F.count(F.lit(1)).over(Window.partitionBy("band")).alias("size"), near.alias("near")).where("size > 1")
+    ranked = materialize(ranked, "line-bands")
+    pairs = ranked.select(F.col("place").alias("x"), F.explode("near").alias("y")).where("y is not null and x <> y")
     pairs = materialize(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "line-pairs")
-    joined = connected_components(verified(docs, pairs, similarity))
+    links = materialize(verified(docs, pairs, similarity), "line-links")
+    joined = connected_components(links)
+    # Up to NEIGHBOURS + 2 lines of a band have all been compared by now.
+    rest = materialize(unlinked_pairs(docs, ranked.where(F.col("size") > NEIGHBOURS + 2).select("place", "band", "size"), joined, similarity).join(pairs, ["a", "b"], "left_anti"), "line-pairs")
+    if rest.limit(1).count():
+        joined = connected_components(links.unionByName(verified(docs, rest, similarity)))
     gone = joined.where("node <> root").select(*_split_place("node"))
     kept = found.select("doc_id", "line_no").join(gone, ["doc_id", "line_no"], "left_anti")
     kept = kept.groupBy("doc_id").agg(F.array_sort(F.collect_list("line_no")).alias("lines"))
     return kept.select(F.when(F.col("doc_id") != _NO_ID, F.col("doc_id")).alias("doc_id"), "lines")
 
 
+def _across(members: DataFrame, keys: list[str], similarity: float) -> DataFrame:
+    """Pairs (a, b) of members(*keys, place, root, distinct) that agree on the keys and not on the root, of sizes that allow the similarity."""
+    sides = members.groupBy(*keys).agg(F.min("root").alias("__lo"), F.max("root").alias("__hi")).where("__lo <> __hi").select(*keys)
+    own = members.join(sides, keys)
+    x, y = (own.select(*keys, *(F.col(c).alias(f"{c}_{k}") for c in ("place", "root", "distinct"))) for k in "xy")
+    both = x.join(y, keys).where("place_x < place_y and root_x <> root_y")
+    both = both.where(F.least("distinct_x", "distinct_y") >= similarity * F.greatest("distinct_x", "distinct_y") - 1e-9)
+    return both.select(F.col("place_x").alias("a"), F.col("place_y").alias("b"))
+
+
+def unlinked_pairs(docs: DataFrame, placed: DataFrame, joined: DataFrame, similarity: float, crowded: int = CROWDED) -> DataFrame:
+    """Distinct pairs (a, b) of placed(place, band, size) that share a band and are not in one component of joined(node, root).
+
+    Pairs that cannot be alike are left out: by their numbers of distinct shingles and, in bands of more than
+    `crowded` lines, by prefixes: of two sets that are alike, ordered by one order, rarest first, the first
+    n - ceil(similarity * n) + 1 members have one in common.
+    """
+    rooted = placed.join(joined.withColumnRenamed("node", "place"), "place", "left").withColumn("root", F.coalesce("root", "place"))
+    mixed = rooted.groupBy("band").agg(F.min("root").alias("__lo"), F.max("root").alias("__hi")).where("__lo <> __hi").select("band")
+    rooted = materialize(rooted.join(mixed, "band"), "line-mixed")
+    texts = materialize(texts_at(docs, rooted.select("place").distinct()).select("place", shingles(F.col("line")).alias("all")), "line-shingles")
+    sized = rooted.join(texts.select("place", F.size("all").alias("distinct")), "place")
+    few = _across(sized.where(F.col("size") <= crowded), ["band"], similarity)
+    many = sized.where(F.col("size") > crowded)
+    parted = texts.join(many.select("place").distinct(), "place").select("place", F.explode("all").alias("s"))
+    counts = parted.groupBy("s").count()
+    rarest = parted.join(counts, "s").groupBy("place").agg(F.array_sort(F.collect_list(F.struct("count", "s"))).alias("all"))
+    first = F.size("all") - F.ceil(F.size("all") * similarity - 1e-9).cast("int") + 1
+    prefix = rarest.select("place", F.explode(F.slice("all", F.lit(1), first)).alias("own")).select("place", F.col("own.s").alias("s"))
+    return few.unionByName(_across(many.join(prefix, "place"), ["band", "s"], similarity)).distinct()
+
+
 def texts_at(docs: DataFrame, places: DataFrame) -> DataFrame:
     """(place, line) of the distinct places."""
     needed = places.select("place", *_split_place("place"))

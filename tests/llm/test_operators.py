@@ -235,6 +235,23 @@ def test_lines_of_one_repeated_phrase_are_alike(spark):
     assert line_pairs_found(spark, [("=" * 12, "=" * 80), ("ab, cd; " * 4, "ab, cd; " * 30)]) == 1
 
 
+def test_crowded_bands_lose_no_pairs(spark):
+    """Bands of many unlike lines, made by hand: each alike pair is found, though others stand between its lines."""
+    from pyspark.sql.types import DecimalType
+
+    texts = [f"{PASSAGE[:120]} {prose(100 + i, 16)}" for i in range(150)]
+    texts += [t[: 40 + 7 * (i % 9)] + t[43 + 7 * (i % 9) :] for i, t in enumerate(texts[:60])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    placed = docs.withColumn("no", F.lit(0)).select(line_dedup._place("doc_id", "no").alias("place"), F.lit(1).cast("long").alias("band"), F.lit(len(texts)).cast("long").alias("size"))
+    none = spark.createDataFrame([], "node decimal(38,0), root decimal(38,0)")
+    want = {(i, j) for j in range(len(texts)) for i in range(j) if jaccard(texts[i], texts[j]) >= 0.8}
+    assert len(want) >= 40
+    for crowded in (8, 1000):
+        pairs = line_dedup.unlinked_pairs(docs, placed, none, 0.8, crowded)
+        assert pairs.schema["a"].dataType == DecimalType(38, 0)
+        assert want <= {(int(r["a"]) >> 32, int(r["b"]) >> 32) for r in pairs.collect()}
+
+
 def test_line_dedup_text(spark):
     a, b = prose(11, 30), prose(12, 30)
     docs = spark.createDataFrame([(1, f"{a}\n\n{b}", 1), (2, f"{b}x\n{prose(13, 20)}", 1), (3, a, 1), (4, None, 1), (5, "", 1)], "doc_id long, text string, lines int")
