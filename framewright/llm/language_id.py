@@ -38,8 +38,8 @@ def fit(docs: DataFrame, documents: int = FIT_DOCUMENTS, size: int = DICTIONARY_
     """
     rows = docs.select("text", "lang").where("text is not null and lang is not null").withColumn("h", F.xxhash64("text"))
     order = Window.partitionBy("lang").orderBy("h")
-    first = rows.select("lang", "h").withColumn("n", F.row_number().over(order)).where(F.col("n") <= documents)
-    chosen = first.select("lang", "h").distinct()
+    first = rows.select("lang", "h").distinct().withColumn("n", F.row_number().over(order))
+    chosen = first.where(F.col("n") <= documents).select("lang", "h")
     part = F.substring("text", 1, 4 * FIT_BYTES)
     got = rows.join(F.broadcast(chosen), ["lang", "h"]).select("lang", "h", part.alias("text")).dropDuplicates(["lang", "h"]).collect()
     made: dict[str, bytes] = {}

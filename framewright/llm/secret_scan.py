@@ -35,7 +35,7 @@ def identifier_samples(docs: DataFrame, n: int = IDENTIFIER_DOCUMENTS) -> DataFr
 
     Repeated texts count once, so the sample does not depend on how often a text is there.
     """
-    first = docs.where("text is not null").select(F.xxhash64("text").alias("h")).orderBy("h").limit(n).distinct()
+    first = docs.where("text is not null").select(F.xxhash64("text").alias("h")).distinct().orderBy("h").limit(n)
     text = docs.where("text is not null").withColumn("h", F.xxhash64("text")).join(F.broadcast(first), "h").select("h", F.substring("text", 1, 2000).alias("text")).dropDuplicates(["h"])
     words = F.filter(F.split(F.regexp_replace("text", "[^A-Za-z ]", " "), " +"), lambda w: F.length(w) > 1)
     made = text.select(F.transform(words, lambda w: F.lower(w)).alias("w"))

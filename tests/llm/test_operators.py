@@ -136,6 +136,16 @@ def test_language_held_out_accuracy(spark):
     assert np.mean([r["lang"] == r["lang_pred"] for r in got]) > 0.97
 
 
+def test_samples_count_texts_not_copies(spark):
+    texts = [prose(300 + i, 12) for i in range(12)]
+    docs = spark.createDataFrame([(t, "en") for t in texts], "text string, lang string")
+    least = docs.orderBy(F.xxhash64("text")).first()["text"]
+    more = docs.unionByName(spark.createDataFrame([(least, "en")] * 40, "text string, lang string"))
+    assert language_id.fit(more, documents=5) == language_id.fit(docs, documents=5)
+    names = [sorted(r["sample"] for r in secret_scan.identifier_samples(d, 5).collect()) for d in (docs, more)]
+    assert names[0] == names[1] and names[0]
+
+
 def test_language_of_nothing():
     judge = language_id.Classifier({"aa": b"one two three", "bb": b"eins zwei drei"})
     assert judge.predict(None) == judge.predict("12 !?") == ("und", 0.0)
