@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def rows_apart(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A stage from docs to rows with the columns of docs, for which each row is a document of its own.
+
+    Where rows share a doc_id, nulls among them, the stage sees numbers in place of the ids, in their order, nulls last,
+    then in that of the texts; its rows come back with their own ids.
+    """
+
+    @functools.wraps(stage)
+    def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        number = F.col("doc_id").cast("long")
+        if not docs.groupBy(number).count().where("count > 1").limit(1).count():
+            return stage(docs, *args, **kwargs)
+        ordered = docs.withColumn("__fw_doc", F.col("doc_id")).orderBy(number.asc_nulls_last(), F.xxhash64("text"), "text")
+        # Written, so that a task that runs again gives the same numbers.
+        numbered = materialize(ordered.withColumn("doc_id", F.monotonically_increasing_id()), "row-numbers")
+        return stage(numbered, *args, **kwargs).withColumn("doc_id", F.col("__fw_doc")).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+    return run
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Components of an undirected graph: distributed union-find by hooking and pointer jumping.
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framewright.llm.common import connected_components, materialize
+from framewright.llm.common import connected_components, materialize, rows_apart
 
 #: Characters of a shingle, for signatures and for the exact comparison.
 SHINGLE = 5
@@ -167,10 +167,12 @@ def line_report(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return rows.select("doc_id", "n_lines", F.size(lists).alias("n_kept"), lists.alias("kept_lines"))
 
 
+@rows_apart
 def line_dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs without the lines that go; lines of white space stay, n_chars, where there is one, follows the text.
 
-    A document that had lines and keeps none goes; null, empty and blank texts stay.
+    A document that had lines and keeps none goes; null, empty and blank texts stay. Rows that share a doc_id are
+    documents of their own.
     """
     kept = kept_lines(docs, similarity).select(F.col("doc_id").alias("__fw_id"), F.col("lines").alias("__fw_lines"))
     both = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__fw_id")), "left").drop("__fw_id")

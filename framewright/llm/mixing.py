@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from framewright.llm.common import materialize, text_slices, utf8_rows
+from framewright.llm.common import materialize, rows_apart, text_slices, utf8_rows
 
 BLOCK, SEED = 64, 20_240_229
 WEIGHTS, SHARE, MOST = (5.0, 2.0, 1.0), 1.5, 2.0
@@ -235,6 +235,7 @@ def mix_report(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFra
     return both.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
+@rows_apart
 def mixed_documents(docs: DataFrame, block: int = BLOCK, seed: int = SEED, weights: dict[str | None, float] | None = None) -> DataFrame:
     """The mix as documents with the columns of docs: for each time that it goes through a source, a row of each of its documents that it takes words of.
 
@@ -242,10 +243,7 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, seed: int = SEED, weigh
     where there is one, to match; other columns stay. Documents without words are not in a mix.
     """
     rows, p = prepared(docs, block, seed, weights)
-    # Repeated rows of a document would each be given the words of all of them.
     runs = mixed(rows, p, block, seed).groupBy("doc_id", "epoch").agg(F.collect_list(F.struct("start", "n")).alias("__fw_runs")).withColumnRenamed("doc_id", "__fw_id").drop("epoch")
-    if rows.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        docs = docs.dropDuplicates(["doc_id"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import re

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.common import connected_components, materialize, text_slices, utf8_rows
+from framewright.llm.common import connected_components, materialize, rows_apart, text_slices, utf8_rows
 
 SEED, WORDS, RADIUS = 42, 3, 2
 #: Distinct fingerprints of a shard beyond which it is divided by a further part.
@@ -214,10 +214,9 @@ def simhash_groups(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) ->
     return rows.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
+@rows_apart
 def simhash_dedup(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """The rows of docs, whole, that stay: of each component the document with the smallest doc_id, once."""
+    """The rows of docs, whole, that stay: of each component the row with the smallest doc_id, a null one last."""
     groups = simhash_groups(docs, words, radius)
     keep = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias("__fw_id"))
-    repeated = keep.groupBy("__fw_id").count().where("count > 1").limit(1).count()
-    kept = docs.join(keep.distinct() if repeated else keep, F.col("doc_id").eqNullSafe(F.col("__fw_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__fw_id")), "left_semi")

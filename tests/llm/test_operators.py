@@ -461,6 +461,17 @@ def test_one_document_of_each_group_stays(small):
     assert len(kept) == len(set(kept)) and {0, 3, 5, 9} <= set(kept) and not {1, 2, 4} & set(kept)
 
 
+def test_rows_without_an_id_are_documents_of_their_own(spark):
+    texts = [prose(400 + i, 90) for i in range(6)]
+    docs = spark.createDataFrame([(None if i < 4 else 7, t, "s") for i, t in enumerate(texts)] + [(None, texts[0], "s")], "doc_id long, text string, source string")
+    for stage in (line_dedup.line_dedup, simhash_dedup.simhash_dedup):
+        got = [(r["doc_id"], r["text"]) for r in stage(docs).collect()]
+        assert sorted(got, key=str) == sorted([(None if i < 4 else 7, t) for i, t in enumerate(texts)], key=str)
+    mixed = mixing.mixed_documents(docs.limit(6)).collect()
+    assert {w for r in mixed for w in r["text"].split()} == {w for t in texts for w in t.split()}
+    assert all(r["text"].split()[0] in " ".join(texts) and r["source"] == "s" for r in mixed)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
