@@ -23,6 +23,8 @@ SAMPLES = 128
 SEGMENT, SEED = 1024, 7
 #: Bytes of a fingerprint that make a band, and rows of a bucket that get a task's ordered window.
 BAND, BUCKET = 4, 4096
+#: Fingerprints of a band beyond which its pairs are found by two bands at a time.
+CROWDED = 64
 #: Likeness at which two fingerprints link.
 LIKENESS = 0.8
 
@@ -222,7 +224,7 @@ def edit_groups(docs: DataFrame, least: float = LIKENESS, band: int = BAND) -> D
     """(doc_id, component_id): documents whose fingerprints are alike in at least `least` of their samples, linked.
 
     Candidates share a band of `band` consecutive samples; each is verified against the band's first fingerprint and
-    the one before it. Equal fingerprints are one node, so copies cost no pairs. component_id is the smallest doc_id.
+    the one before it, then against all others of the band that are not in its component yet. Equal fingerprints are one node, so copies cost no pairs. component_id is the smallest doc_id.
     """
     rows = materialize(document_fingerprints(docs), "edit-prints")
     nodes = materialize(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "edit-nodes")
@@ -241,8 +243,46 @@ def edit_groups(docs: DataFrame, least: float = LIKENESS, band: int = BAND) -> D
         x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(-1, SAMPLES) for s in (a, b))
         return pd.Series(likeness(x, y))
 
-    joined = connected_components(pairs.where(alike("a", "b") >= least))
+    links = materialize(pairs.where(alike("a", "b") >= least), "edit-links")
+    joined = connected_components(links)
+    rest = unlinked_pairs(nodes.select("fingerprint"), joined, least, band)
+    more = materialize(rest.where(alike("a", "b") >= least), "edit-links")
+    if more.limit(1).count():
+        joined = connected_components(links.unionByName(more))
     roots = nodes.join(joined.select(F.col("node").alias("fingerprint"), "root"), "fingerprint", "left").select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root"))
     roots = materialize(roots, "edit-roots")
     ids = roots.join(roots.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fingerprint", "component_id")
     return rows.join(ids, "fingerprint").select("doc_id", "component_id")
+
+
+def crowded_keys(least: float, band: int) -> list[tuple[int, ...]]:
+    """Sets of bands such that fingerprints that are alike agree on all bands of one of the sets.
+
+    Samples that differ spoil a band each at most. Where more bands agree than there are groups of bands, two agree
+    within a group. Where too few must agree for that, each band is a set.
+    """
+    count = SAMPLES // band
+    agreeing = count - int((1 - least) * SAMPLES + 1e-9)
+    if agreeing < 2:
+        return [(i,) for i in range(count)]
+    return [(i, j) for j in range(count) for i in range(j) if i % (agreeing - 1) == j % (agreeing - 1)]
+
+
+def unlinked_pairs(nodes: DataFrame, joined: DataFrame, least: float, band: int, crowded: int = CROWDED) -> DataFrame:
+    """Distinct pairs (a, b) of nodes(fingerprint) that share a band and are not in one component of joined(node, root).
+
+    In bands of more than `crowded` fingerprints, pairs that cannot be alike are left out by crowded_keys.
+    """
+    rooted = nodes.join(joined.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select("fingerprint", F.coalesce("root", "fingerprint").alias("root"))
+    key = lambda bands: F.xxhash64(F.lit(",".join(map(str, bands))), *(F.substring("fingerprint", i * band + 1, band) for i in bands))
+    keyed = lambda sets, rows: rows.select("fingerprint", "root", F.explode(F.array(*map(key, sets))).alias("key"))
+
+    def across(rows: DataFrame) -> DataFrame:
+        x, y = (rows.select("key", F.col("fingerprint").alias(f), F.col("root").alias(f"root_{f}")) for f in "ab")
+        return x.join(y, "key").where("a < b and root_a <> root_b").select("a", "b")
+
+    single = keyed([(i,) for i in range(SAMPLES // band)], rooted)
+    sides = single.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key", "size")
+    single = materialize(single.join(sides, "key"), "edit-bands")
+    many = single.where(F.col("size") > crowded).select("fingerprint", "root").distinct()
+    return across(single.where(F.col("size") <= crowded)).unionByName(across(keyed(crowded_keys(least, band), many))).distinct()
