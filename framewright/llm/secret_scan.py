@@ -103,7 +103,7 @@ def scan(docs: DataFrame, table: list[float], threshold: float = THRESHOLD) -> D
         "assign": F.filter("assign", lambda x: F.length(F.regexp_replace(x["value"], ASSIGN_HEAD, "")) >= LEAST["assign"]),
         "access": F.col("access"),
         "hex": F.col("hex"),
-        "random": F.filter("random", lambda x: x["value"].rlike("[0-9]|[a-z][A-Z]") & (score(x["value"], table) >= threshold)),
+        "random": F.filter("random", lambda x: score(x["value"], table) >= threshold),
     }
     spans = [_tagged(good[k], i, k) for i, k in enumerate(good)]
     return raw.select("doc_id", F.array_sort(F.concat(*spans)).alias("spans"))
@@ -142,6 +142,6 @@ def redacted(docs: DataFrame, table: list[float], mark: str = "[secret]") -> Dat
 
 def _spans_of(docs: DataFrame, table: list[float], threshold: float = THRESHOLD) -> Column:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    random = F.filter(_where(text, r"[A-Za-z0-9+/_-]{16}", CANDIDATE), lambda x: x["value"].rlike("[0-9]|[a-z][A-Z]") & (score(x["value"], table) >= threshold))
+    random = F.filter(_where(text, r"[A-Za-z0-9+/_-]{16}", CANDIDATE), lambda x: score(x["value"], table) >= threshold)
     assign = F.filter(_where(text, r"(?i:passw|secret|token|api_?key)", ASSIGN), lambda x: F.length(F.regexp_replace(x["value"], ASSIGN_HEAD, "")) >= LEAST["assign"])
     return F.array_sort(F.concat(random, assign, _where(text, "AKIA[A-Z0-9]{16}", "AKIA[A-Z0-9]{16,}"), _where(text, "[0-9a-f]{24}", "[0-9a-f]{24,}")))

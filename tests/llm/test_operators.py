@@ -350,6 +350,14 @@ def test_models_tell_random_strings_from_names(spark):
 # 8, 9
 
 
+def test_random_letters_of_one_case_are_judged(spark):
+    """By a table that finds every transition random: only the score decides."""
+    docs = spark.createDataFrame([(1, "key xqzjvkwpfhgbtzqx here")], "doc_id long, text string")
+    table = [1.0] * len(secret_scan.ALPHABET) ** 2
+    (spans,) = [r["spans"] for r in secret_scan.scan(docs, table).collect()]
+    assert [(s["kind"], s["start"], s["end"]) for s in spans] == [("random", 4, 20)]
+
+
 def exact_ids(texts):
     from tokenizers import Tokenizer
 
