@@ -5,39 +5,70 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker handles at a time.
 SLICE_BYTES = 4 << 20
+#: Whether shuffle files go as soon as the query that wrote them has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where none is set."""
+    """The folder that driver and executors share (spark.checkpoint.dir).
+
+    Where none is set, a temporary one serves, but only if all tasks run in the driver's own process; on a cluster that is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="framewright-")
         spark.sparkContext.setCheckpointDir(root)
     return root
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: lineage ends there and lost executors lose nothing."""
+    """Write df as a Parquet table in the shared folder and read it back: lineage ends there and lost executors lose nothing.
+
+    The shuffle files of the write go with it, as nothing reads them again.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.__dict__["_fw_folder"] = path
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that materialize made and that no result reads any more."""
+    for table in tables:
+        path = table.__dict__.pop("_fw_folder", None)
+        if path is not None:
+            spark = table.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def rows_apart(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-    """A stage from docs to rows with the columns of docs, for which each row is a document of its own.
+    """A stage or report over docs for which each row is a document of its own.
 
-    Where rows share a doc_id, nulls among them, the stage sees numbers in place of the ids, in their order, nulls last,
-    then in that of the texts; its rows come back with their own ids.
+    Where rows share a doc_id, nulls among them, it sees numbers in place of the ids, in their order, nulls last,
+    then in that of hashes of the texts; its rows come back with their own ids.
     """
 
     @functools.wraps(stage)
@@ -45,10 +76,16 @@ def rows_apart(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
         number = F.col("doc_id").cast("long")
         if not docs.groupBy(number).count().where("count > 1").limit(1).count():
             return stage(docs, *args, **kwargs)
-        ordered = docs.withColumn("__fw_doc", F.col("doc_id")).orderBy(number.asc_nulls_last(), F.xxhash64("text"), "text")
+        # The last key parts rows that are alike in all the others, so that a common row does not fill a task.
+        ordered = docs.withColumn("__fw_doc", F.col("doc_id")).orderBy(number.asc_nulls_last(), F.xxhash64("text"), F.monotonically_increasing_id())
         # Written, so that a task that runs again gives the same numbers.
         numbered = materialize(ordered.withColumn("doc_id", F.monotonically_increasing_id()), "row-numbers")
-        return stage(numbered, *args, **kwargs).withColumn("doc_id", F.col("__fw_doc")).select(*(F.col(f"`{c}`") for c in docs.columns))
+        out = stage(numbered, *args, **kwargs)
+        if "__fw_doc" in out.columns:
+            return out.withColumn("doc_id", F.col("__fw_doc")).select(*(F.col(f"`{c}`") for c in docs.columns))
+        own = numbered.select(F.col("doc_id").alias("__fw_no"), F.col("__fw_doc").cast("long").alias("__fw_doc"))
+        both = out.join(own, F.col("doc_id") == F.col("__fw_no"))
+        return both.select(*(F.col("__fw_doc").alias("doc_id") if c == "doc_id" else F.col(f"`{c}`") for c in out.columns))
 
     return run
 
@@ -67,26 +104,82 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while True:
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
-        up = materialize(up.select("node", F.least("node", "m").alias("root")), "cc-hook")
+        table = up = materialize(up.select("node", F.least("node", "m").alias("root")), "cc-hook")
         while True:
             over = up.select(F.col("node").alias("root"), F.col("root").alias("top"))
             step = materialize(up.join(over, "root").select("node", "root", "top"), "cc-jump")
-            moved = step.where("root <> top").limit(1).count()
-            up = step.select("node", F.col("top").alias("root"))
-            if not moved:
+            forget(table)
+            table, up = step, step.select("node", F.col("top").alias("root"))
+            if not step.where("root <> top").limit(1).count():
                 break
-        if found is None:
-            found = up
-        else:
-            over = up.select(F.col("node").alias("root"), F.col("root").alias("top"))
-            found = found.join(over, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+        over = up.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        merged = up if found is None else found.join(over, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+        merged = materialize(merged, "cc-found")
         at = lambda c: up.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-        pairs = pairs.join(at("a"), "a").join(at("b"), "b").where("a_root <> b_root")
-        pairs = materialize(pairs.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct(), "cc-edges")
+        left = pairs.join(at("a"), "a").join(at("b"), "b").where("a_root <> b_root")
+        left = materialize(left.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct(), "cc-edges")
+        forget(pairs, table, *([found] if found is not None else []))
+        found, pairs = merged, left
         if not pairs.limit(1).count():
+            forget(pairs)
             return found
 
 
+#: Words of 64 bits of the filter that passes over rows that a join would drop; its size does not depend on the data.
+FILTER_WORDS = 1 << 18
+
+
+def perhaps_among(rows: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
+    """The rows whose keys are among those of wanted, and some others: by a table of hashed bits, of a fixed size, that is broadcast."""
+    h = F.xxhash64(*keys)
+    word, bit = F.pmod(F.shiftright(h, 6), F.lit(FILTER_WORDS)), F.pmod(h, F.lit(64)).cast("int")
+    marks = wanted.select(word.alias("__word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64({', '.join(keys)}), 64L) as int))").alias("__mark")).groupBy("__word").agg(F.bit_or("__mark").alias("__marks"))
+    both = rows.withColumn("__word", word).withColumn("__bit", bit).join(F.broadcast(marks), "__word")
+    return both.where(F.expr("(shiftright(__marks, __bit) & 1L) = 1L")).select(*rows.columns)
+
+
+def shared_bands(placed: DataFrame, node: str) -> DataFrame:
+    """The rows of placed(band, node, ...) whose band has several, with its size and its first node, as a table.
+
+    Bands are counted by partial sums and their rows found by a join, so that a band may hold any share of all rows.
+    """
+    shared = materialize(placed.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min(node).alias("first")).where("size > 1"), "bands")
+    ranked = materialize(perhaps_among(placed, shared, "band").join(shared, "band"), "candidates")
+    forget(shared)
+    return ranked
+
+
+def near_in_bands(ranked: DataFrame, node: str, order: list[str], neighbours: int, group: int) -> DataFrame:
+    """Distinct pairs (a, b) of each node with its band's first and with those before it in the order, in groups of about `group` of the band."""
+    dealt = F.pmod(F.xxhash64(node), F.ceil(F.col("size") / group))
+    own = Window.partitionBy("band", "__group").orderBy(*order, node)
+    near = ranked.withColumn("__group", dealt).select(node, F.array("first", *(F.lag(node, k + 1).over(own) for k in range(neighbours))).alias("near"))
+    pairs = near.select(F.col(node).alias("x"), F.explode("near").alias("y")).where("y is not null and x <> y")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def unlinked_in_bands(ranked: DataFrame, node: str, joined: DataFrame) -> DataFrame:
+    """(node, band, size, root) of ranked(node, band, size) in the bands that hold nodes of several components of joined(node, root)."""
+    rooted = ranked.select(node, "band", "size").join(joined.withColumnRenamed("node", node), node, "left").withColumn("root", F.coalesce("root", node))
+    mixed = rooted.groupBy("band").agg(F.min("root").alias("__lo"), F.max("root").alias("__hi")).where("__lo <> __hi").select("band")
+    return rooted.join(mixed, "band")
+
+
+def pairs_across(members: DataFrame, keys: list[str], node: str, carried: Sequence[str] = (), keep: Column | None = None) -> DataFrame:
+    """Distinct pairs (a, b) of members(*keys, node, root, *carried) that agree on the keys and not on the root.
+
+    keep may name a carried column c as c_x and c_y. All members meet those of other roots than the commonest, so one
+    component, however large, makes no pairs of its own.
+    """
+    counted = members.groupBy(*keys, "root").agg(F.count(F.lit(1)).alias("__n"))
+    main = counted.groupBy(*keys).agg(F.max_by("root", F.struct("__n", "root")).alias("__main"), F.count(F.lit(1)).alias("__roots")).where("__roots > 1")
+    own = members.join(main.select(*keys, "__main"), keys)
+    x, y = (rows.select(*keys, *(F.col(c).alias(f"{c}_{k}") for c in (node, "root", *carried))) for k, rows in (("x", own), ("y", own.where("root <> __main"))))
+    both = x.join(y, keys).where("root_x <> root_y")
+    both = both if keep is None else both.where(keep)
+    return both.select(F.least(f"{node}_x", f"{node}_y").alias("a"), F.greatest(f"{node}_x", f"{node}_y").alias("b")).distinct()
+
+
 def row_slices(sizes: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about `most` bytes; a larger row stands alone."""
     first, total = 0, 0
