@@ -1,77 +1,122 @@
 """Fuzzy line dedup by MinHash, in DataFrame expressions alone.
 
 Signatures are minima over all shingles of SHINGLE characters, the ones that the exact Jaccard similarity compares.
-Lines that share a band are candidates. Each is verified against its band's first line and the neighbours before it;
-where a band still holds lines of several components, all its pairs across components are verified too, in crowded
-bands those that a prefix filter cannot rule out, which drops no pair that is alike enough. Distributed union-find
-then keeps one line of each component.
+Lines that share a band and half of their minima are candidates; of 30 minima, a pair of similarity 0.8 shares half
+but for one time in ten thousand. Each is verified against its band's first line and the neighbours before it; where
+a band still holds lines of several components, all its pairs across components are verified too, in crowded bands
+those that a prefix filter cannot rule out, which drops no pair that is alike enough. Distributed union-find then
+keeps one line of each component.
 """
 
 from __future__ import annotations
 
+import functools
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framewright.llm.common import connected_components, materialize, rows_apart
+from framewright.llm.common import connected_components, forget, materialize, near_in_bands, pairs_across, perhaps_among, rows_apart, shared_bands, unlinked_in_bands
 
 #: Characters of a shingle, for signatures and for the exact comparison.
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Minima in a band. A signature has the square of it, in a grid; a band is one of its lines: those of one slope
-#: (modulo ROWS) have all minima once, and two lines share one at most.
-ROWS, SLOPES = 5, 4
-MINIMA, BANDS = ROWS * ROWS, ROWS * SLOPES
-#: Shingles that a line is parted into at a time.
-PART = 64
+#: Minima in a band, and bands. Each minimum serves two bands, and two bands share one minimum at most.
+ROWS, BANDS = 5, 12
+MINIMA = ROWS * BANDS // 2
+#: Minima that a pair of candidates shares at least.
+AGREEING = MINIMA // 2
+#: Shingles of a row of the aggregation.
+BLOCK = 8
 #: Neighbours, in the order of a band, that a line is compared with first, besides the band's first line.
 NEIGHBOURS = 2
+#: Lines of a band that are put in order together; more lines are dealt into groups of about so many.
+ORDERED = 1024
 #: Lines of a band beyond which its pairs are found by a prefix filter.
 CROWDED = 64
-#: Words of 64 bits of the filter that passes over lines of no pair; its size does not depend on the data.
-FILTER_WORDS = 1 << 18
-_FACTORS = [(0x9E3779B1 * (i + 1) * (2 * i + 1)) % (1 << 31) | 1 for i in range(MINIMA)]
-_NO_ID = (1 << 63) - 1
+#: What the minima are taken of: hashes of 31 bits, exclusive or these. Their first bits all differ, so that each minimum is over shingles of its own.
+_MASKS = [i << 26 | (0x9E3779B1 * (2 * i + 1) >> 3) % (1 << 26) for i in range(MINIMA)]
+#: Eight bits of a minimum in a lane, and lanes of a long, of which the first eight bits stay free.
+_LANES = 7
+_PACKED = [f"p{i}" for i in range(-(-MINIMA // _LANES))]
+_LINES = 1 << 32
+#: What stands for a null doc_id in a place: more than any other.
+_NO_ID = Decimal(1 << 63)
+
+
+def characters(line: Column) -> Column:
+    """A line as UTF-32, in which every character is found at once."""
+    return F.encode(line, "UTF-32")
 
 
-def shingles(line: Column) -> Column:
-    """Distinct shingles of SHINGLE characters, each as its hash of 64 bits; a shorter line is its own shingle."""
-    every = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))
-    return F.array_distinct(F.transform(F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(every), lambda s: F.xxhash64(s)))
+def shingle_rows(rows: DataFrame) -> DataFrame:
+    """rows(line, ...) with a row for each shingle in place of the line: s, its hash of 64 bits. A shorter line is its own shingle."""
+    others = [c for c in rows.columns if c != "line"]
+    wide = rows.select(*others, characters(F.col("line")).alias("__wide"), F.length("line").alias("__n"))
+    at = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("__n") - SHINGLE)))
+    return wide.select(*others, "__wide", at.alias("__at")).select(*others, F.xxhash64(F.substring("__wide", F.col("__at") * 4 + 1, F.lit(4 * SHINGLE))).alias("s"))
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line) of every line that has more than white space, numbered from 0; a null id is the largest."""
-    text = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.posexplode(F.split(F.col("text").cast("string"), "\n", -1)).alias("line_no", "line"))
+    """(doc_id, line_no, line) of every line that has more than white space, numbered from 0."""
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.col("text").cast("string"), "\n", -1)).alias("line_no", "line"))
     return text.where(F.col("line").rlike(r"\S"))
 
 
-def _place(doc_id: str | Column = "doc_id", line_no: str | Column = "line_no") -> Column:
-    """One orderable value for a place."""
-    at = (F.col(c) if isinstance(c, str) else c for c in (doc_id, line_no))
-    return (next(at).cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(11,0)") + next(at)).cast("decimal(38,0)")
+def _place() -> Column:
+    """doc_id and line_no as one orderable value, a null id last."""
+    doc = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit(_NO_ID).cast("decimal(20,0)"))
+    return (doc * F.lit(Decimal(_LINES)) + F.col("line_no")).cast("decimal(38,0)")
 
 
 def _split_place(place: str) -> list[Column]:
-    return [F.expr(f"cast({place} div cast(4294967296 as decimal(11,0)) as long)").alias("doc_id"), F.expr(f"cast({place} % cast(4294967296 as decimal(11,0)) as int)").alias("line_no")]
+    """doc_id and line_no of a place."""
+    number = f"cast(pmod({place}, cast({_LINES} as decimal(10,0))) as bigint)"
+    doc = f"case when {place} < cast({int(_NO_ID) * _LINES} as decimal(38,0)) then cast(({place} - {number}) / cast({_LINES} as decimal(10,0)) as bigint) end"
+    return [F.expr(doc).alias("doc_id"), F.expr(f"cast({number} as int)").alias("line_no")]
 
 
 def bands() -> list[list[int]]:
-    """The minima of each band."""
-    return [[x * ROWS + (slope * x + c) % ROWS for x in range(ROWS)] for slope in range(SLOPES) for c in range(ROWS)]
+    """The minima of each band: of two divisions of a grid, one by rows and one across them."""
+    half = BANDS // 2
+    return [[b * ROWS + r for r in range(ROWS)] for b in range(half)] + [[(b + r) % half * ROWS + r for r in range(ROWS)] for b in range(half)]
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, n, b0, b1, ...) of each distinct line: its first place, its length, and a hash for each band."""
-    # Each line is hashed before it is parted, first in parts that overlap, as finding a character goes through those before it.
-    cut = lines(docs).select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), F.length("line").alias("n"), _place().alias("place"), "line")
-    upto = lambda n, step: F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), n - SHINGLE), F.lit(step)))
+    """(h1, h2, doc_id, line_no, n, b0, b1, ..., p0, ...) of each distinct line: hashes, first place, length, a hash for each band, the minima in lanes."""
     own = ["h1", "h2", "n", "place"]
-    cut = cut.select(*own, "line", upto(F.col("n"), PART).alias("at")).select(*own, F.substring("line", F.col("at") + 1, F.lit(PART + SHINGLE - 1)).alias("part"))
-    rows = cut.select(*own, "part", upto(F.length("part"), 1).alias("at"))
-    rows = rows.select(*own, F.hash(F.substring("part", F.col("at") + 1, F.lit(SHINGLE))).bitwiseAND(F.lit((1 << 31) - 1)).cast("long").alias("x"))
-    least = [F.min((F.col("x") * F.lit(c)).bitwiseAND(F.lit((1 << 32) - 1))).alias(f"m{i}") for i, c in enumerate(_FACTORS)]
-    sign = rows.groupBy("h1", "h2").agg(F.max("n").alias("n"), F.min("place").alias("place"), *least)
-    return sign.select(*_split_place("place"), "n", *(F.xxhash64(F.lit(b), *(f"m{i}" for i in own)).alias(f"b{b}") for b, own in enumerate(bands())))
+    rows = lines(docs).select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), F.length("line").alias("n"), _place().alias("place"), characters(F.col("line")).alias("wide"))
+    rows = rows.select(*own, "wide", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("n") - SHINGLE), F.lit(BLOCK))).alias("at"))
+    rows = rows.select(*own, "at", F.substring("wide", F.col("at") * 4 + 1, F.lit(4 * (BLOCK + SHINGLE - 1))).alias("wide"))
+    shingle = lambda j: F.hash(F.substring("wide", 4 * j + 1, 4 * SHINGLE)).bitwiseAND(F.lit((1 << 31) - 1))
+    rows = rows.select(*own, "at", "wide", (F.col("n") - F.col("at")).alias("left"), shingle(0).alias("x0"))
+    # Where a block ends early, its first shingle stands for those that are not there.
+    rows = rows.select(*own, "at", "x0", *(F.when(F.col("left") >= SHINGLE + j, shingle(j)).otherwise(F.col("x0")).alias(f"x{j}") for j in range(1, BLOCK)))
+    least = [F.min(F.least(*(F.col(f"x{j}").bitwiseXOR(F.lit(c)) for j in range(BLOCK)))).alias(f"m{i}") for i, c in enumerate(_MASKS)]
+    sign = rows.groupBy("h1", "h2").agg(F.max("n").alias("n"), F.min(F.when(F.col("at") == 0, F.col("place"))).alias("place"), *least)
+    lane = lambda i: F.shiftleft(F.col(f"m{i}").bitwiseAND(F.lit(255)).cast("long"), 8 * (i % _LANES))
+    packed = [functools.reduce(Column.bitwiseOR, [lane(i) for i in range(k * _LANES, min(MINIMA, (k + 1) * _LANES))]).alias(p) for k, p in enumerate(_PACKED)]
+    return sign.select("h1", "h2", *_split_place("place"), "n", *(F.xxhash64(F.lit(b), *(f"m{i}" for i in own)).alias(f"b{b}") for b, own in enumerate(bands())), *packed)
+
+
+def _agreeing(x: str, y: str) -> Column:
+    """Whether enough lanes of two lines' packed minima are equal."""
+    low, high = sum(0x7F << 8 * i for i in range(_LANES)), sum(0x80 << 8 * i for i in range(_LANES))
+    apart = [F.col(f"{p}{x}").bitwiseXOR(F.col(f"{p}{y}")) for p in _PACKED]
+    unlike = [F.bit_count((z.bitwiseAND(F.lit(low)) + F.lit(low)).bitwiseOR(z).bitwiseAND(F.lit(high))) for z in apart]
+    return functools.reduce(lambda a, b: a + b, unlike) <= MINIMA - AGREEING
+
+
+def candidates(found: DataFrame) -> DataFrame:
+    """(band, line_id, n, size, first) of the bands that several lines of found share: how many they are, and the first of them."""
+    return shared_bands(found.select("line_id", "n", F.explode(F.array(*(f"b{b}" for b in range(BANDS)))).alias("band")), "line_id")
+
+
+def near_pairs(ranked: DataFrame, found: DataFrame) -> DataFrame:
+    """Distinct candidates (a, b) among the pairs of each line with its band's first and with those before it by length."""
+    pairs = near_in_bands(ranked, "line_id", ["n"], NEIGHBOURS, ORDERED)
+    at = lambda c: found.select(F.col("line_id").alias(c), *(F.col(p).alias(f"{p}_{c}") for p in _PACKED))
+    return pairs.join(at("a"), "a").join(at("b"), "b").where(_agreeing("_a", "_b")).select("a", "b")
 
 
 def kept_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -81,84 +126,75 @@ def kept_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     `similarity`, the first by doc_id and number stays. Equal lines are always linked. Lines of white space alone
     are not considered and not listed. Rows that share a doc_id are one document; a null doc_id comes last.
     """
-    found = materialize(signatures(docs), "line-signatures")
-    placed = found.select(_place().alias("place"), "n", F.explode(F.array(*(f"b{b}" for b in range(BANDS)))).alias("band"))
-    order = Window.partitionBy("band").orderBy("n", "place")
-    near = F.array(F.first("place").over(order.rowsBetween(Window.unboundedPreceding, 0)), *(F.lag("place", k + 1).over(order) for k in range(NEIGHBOURS)))
-    ranked = placed.select("place", "band", F.count(F.lit(1)).over(Window.partitionBy("band")).alias("size"), near.alias("near")).where("size > 1")
-    ranked = materialize(ranked, "line-bands")
-    pairs = ranked.select(F.col("place").alias("x"), F.explode("near").alias("y")).where("y is not null and x <> y")
-    pairs = materialize(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "line-pairs")
-    links = materialize(verified(docs, pairs, similarity), "line-links")
+    found = materialize(signatures(docs).withColumn("line_id", F.monotonically_increasing_id()), "line-signatures")
+    ranked = candidates(found)
+    pairs = materialize(near_pairs(ranked, found), "line-pairs")
+    links = verified(docs, found, pairs, similarity)
     joined = connected_components(links)
     # Up to NEIGHBOURS + 2 lines of a band have all been compared by now.
-    rest = materialize(unlinked_pairs(docs, ranked.where(F.col("size") > NEIGHBOURS + 2).select("place", "band", "size"), joined, similarity).join(pairs, ["a", "b"], "left_anti"), "line-pairs")
+    rest = unlinked_pairs(docs, found, ranked.where(F.col("size") > NEIGHBOURS + 2), joined, similarity)
+    rest = materialize(rest.join(pairs, ["a", "b"], "left_anti"), "line-pairs")
     if rest.limit(1).count():
-        joined = connected_components(links.unionByName(verified(docs, rest, similarity)))
-    gone = joined.where("node <> root").select(*_split_place("node"))
-    kept = found.select("doc_id", "line_no").join(gone, ["doc_id", "line_no"], "left_anti")
-    kept = kept.groupBy("doc_id").agg(F.array_sort(F.collect_list("line_no")).alias("lines"))
-    return kept.select(F.when(F.col("doc_id") != _NO_ID, F.col("doc_id")).alias("doc_id"), "lines")
-
-
-def _across(members: DataFrame, keys: list[str], similarity: float) -> DataFrame:
-    """Pairs (a, b) of members(*keys, place, root, distinct) that agree on the keys and not on the root, of sizes that allow the similarity."""
-    sides = members.groupBy(*keys).agg(F.min("root").alias("__lo"), F.max("root").alias("__hi")).where("__lo <> __hi").select(*keys)
-    own = members.join(sides, keys)
-    x, y = (own.select(*keys, *(F.col(c).alias(f"{c}_{k}") for c in ("place", "root", "distinct"))) for k in "xy")
-    both = x.join(y, keys).where("place_x < place_y and root_x <> root_y")
-    both = both.where(F.least("distinct_x", "distinct_y") >= similarity * F.greatest("distinct_x", "distinct_y") - 1e-9)
-    return both.select(F.col("place_x").alias("a"), F.col("place_y").alias("b"))
-
-
-def unlinked_pairs(docs: DataFrame, placed: DataFrame, joined: DataFrame, similarity: float, crowded: int = CROWDED) -> DataFrame:
-    """Distinct pairs (a, b) of placed(place, band, size) that share a band and are not in one component of joined(node, root).
-
-    Pairs that cannot be alike are left out: by their numbers of distinct shingles and, in bands of more than
-    `crowded` lines, by prefixes: of two sets that are alike, ordered by one order, rarest first, the first
-    n - ceil(similarity * n) + 1 members have one in common.
+        forget(joined)
+        more = verified(docs, found, rest, similarity)
+        joined = connected_components(links.unionByName(more))
+        forget(more)
+    forget(ranked, pairs, links, rest)
+    places = found.select("line_id", "doc_id", "line_no")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "line_no")
+    first = places.join(joined.withColumnRenamed("node", "line_id"), "line_id").groupBy("root").agg(F.min(order).alias("at")).select("at.doc_id", "at.line_no")
+    alone = places.join(joined.select(F.col("node").alias("line_id")), "line_id", "left_anti").select("doc_id", "line_no")
+    return alone.unionByName(first).groupBy("doc_id").agg(F.array_sort(F.collect_list("line_no")).alias("lines"))
+
+
+def unlinked_pairs(docs: DataFrame, found: DataFrame, ranked: DataFrame, joined: DataFrame, similarity: float, crowded: int = CROWDED) -> DataFrame:
+    """Distinct candidates (a, b) of ranked(line_id, band, size) that share a band and are not in one component of joined(node, root).
+
+    In bands of more than `crowded` lines, pairs that cannot be alike are left out by prefixes: of two sets that are
+    alike, ordered by one order, rarest first, the first n - ceil(similarity * n) + 1 members have one in common.
     """
-    rooted = placed.join(joined.withColumnRenamed("node", "place"), "place", "left").withColumn("root", F.coalesce("root", "place"))
-    mixed = rooted.groupBy("band").agg(F.min("root").alias("__lo"), F.max("root").alias("__hi")).where("__lo <> __hi").select("band")
-    rooted = materialize(rooted.join(mixed, "band"), "line-mixed")
-    texts = materialize(texts_at(docs, rooted.select("place").distinct()).select("place", shingles(F.col("line")).alias("all")), "line-shingles")
-    sized = rooted.join(texts.select("place", F.size("all").alias("distinct")), "place")
-    few = _across(sized.where(F.col("size") <= crowded), ["band"], similarity)
-    many = sized.where(F.col("size") > crowded)
-    parted = texts.join(many.select("place").distinct(), "place").select("place", F.explode("all").alias("s"))
-    counts = parted.groupBy("s").count()
-    rarest = parted.join(counts, "s").groupBy("place").agg(F.array_sort(F.collect_list(F.struct("count", "s"))).alias("all"))
-    first = F.size("all") - F.ceil(F.size("all") * similarity - 1e-9).cast("int") + 1
-    prefix = rarest.select("place", F.explode(F.slice("all", F.lit(1), first)).alias("own")).select("place", F.col("own.s").alias("s"))
-    return few.unionByName(_across(many.join(prefix, "place"), ["band", "s"], similarity)).distinct()
-
-
-def texts_at(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """(place, line) of the distinct places."""
-    needed = places.select("place", *_split_place("place"))
-    # A table of hashed bits, of a fixed size however many lines there are, lets most other lines be passed over.
-    h = F.xxhash64("doc_id", "line_no")
-    word, bit = F.pmod(F.shiftright(h, 6), F.lit(FILTER_WORDS)), F.pmod(h, F.lit(64)).cast("int")
-    marks = needed.groupBy(word.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(xxhash64(doc_id, line_no), 64L) as int))")).alias("marks"))
-    own = lines(docs).withColumn("word", word).withColumn("bit", bit).join(F.broadcast(marks), "word")
-    own = own.where(F.expr("(shiftright(marks, bit) & 1L) = 1L")).select("doc_id", "line_no", "line")
+    rooted = materialize(unlinked_in_bands(ranked, "line_id", joined).join(found.select("line_id", *_PACKED), "line_id"), "line-mixed")
+    few, many = rooted.where(F.col("size") <= crowded), rooted.where(F.col("size") > crowded)
+    sets = materialize(shingle_rows(texts_of(docs, found, many.select("line_id").distinct())).distinct(), "line-shingles")
+    counted = sets.join(sets.groupBy("s").agg(F.count(F.lit(1)).alias("count")), "s")
+    own = Window.partitionBy("line_id")
+    ordered = counted.select("line_id", "s", F.row_number().over(own.orderBy("count", "s")).alias("k"), F.count(F.lit(1)).over(own).alias("n"))
+    prefix = ordered.where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1).select("line_id", "s")
+    across = lambda members, *keys: pairs_across(members, list(keys), "line_id", _PACKED, _agreeing("_x", "_y"))
+    return across(few, "band").unionByName(across(many.join(prefix, "line_id"), "band", "s")).distinct()
+
+
+def texts_of(docs: DataFrame, found: DataFrame, ids: DataFrame) -> DataFrame:
+    """(line_id, line) of the distinct ids(line_id) of found, read again at the first place of each."""
+    needed = ids.join(found.select("line_id", "h1", "h2", "doc_id", "line_no"), "line_id")
+    own = perhaps_among(lines(docs), needed, "doc_id", "line_no").select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "doc_id", "line_no", "line")
     # Joined and made distinct by the same columns, so that texts move once.
-    texts = own.join(needed, ["doc_id", "line_no"]).dropDuplicates(["doc_id", "line_no"])
-    return texts.select("place", "line")
+    at = needed.select("h1", "h2", "line_id", F.col("doc_id").alias("__doc"), F.col("line_no").alias("__no"))
+    both = own.join(at, ["h1", "h2"]).where(F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("line_no") == F.col("__no")))
+    return both.dropDuplicates(["h1", "h2"]).select("line_id", "line")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """Of the pairs (a, b) of places, those of lines whose exact Jaccard similarity is high enough."""
-    texts = materialize(texts_at(docs, pairs.select(F.explode(F.array("a", "b")).alias("place")).distinct()), "line-texts")
-    at = lambda c: texts.select(F.col("place").alias(c), F.col("line").alias(f"line_{c}"))
-    sets = pairs.join(at("a"), "a").join(at("b"), "b").select("a", "b", shingles(F.col("line_a")).alias("x"), shingles(F.col("line_b")).alias("y"))
-    # Written before it is filtered: a filter moved below would make the sets again.
-    sizes = materialize(sets.select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("total")), "line-overlaps")
-    return sizes.where(F.col("common") / (F.col("total") - F.col("common")) >= similarity - 1e-12).select("a", "b")
+def verified(docs: DataFrame, found: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """Of the pairs (a, b) of lines of found, a table of those whose exact Jaccard similarity is high enough."""
+    texts = materialize(texts_of(docs, found, pairs.select(F.explode(F.array("a", "b")).alias("line_id")).distinct()), "line-texts")
+    at = lambda c: texts.select(F.col("line_id").alias(c), F.col("line").alias(f"line_{c}"))
+    # Merged by b, so that all shingles of a pair stay in the task that makes them.
+    both = pairs.join(at("a"), "a").join(at("b").hint("merge"), "b")
+    sides = both.select("a", "b", F.inline(F.array(*(F.struct(F.lit(i).alias("side"), F.col(f"line_{c}").alias("line")) for i, c in enumerate("ab")))))
+    shared = shingle_rows(sides).groupBy("a", "b", "s").agg(F.min("side").alias("lo"), F.max("side").alias("hi"))
+    sizes = shared.groupBy("a", "b").agg(F.sum(F.when(F.col("lo") < F.col("hi"), 1).otherwise(0)).alias("common"), F.count(F.lit(1)).alias("either"))
+    links = materialize(sizes.where(F.col("common") >= similarity * F.col("either") - 1e-9).select("a", "b"), "line-links")
+    forget(texts)
+    return links
 
 
+@rows_apart
 def line_report(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """A row for each row of docs: doc_id, n_lines (with more than white space), n_kept, kept_lines (their numbers)."""
+    """A row for each row of docs: doc_id, n_lines (with more than white space), n_kept, kept_lines (their numbers).
+
+    Rows that share a doc_id, nulls among them, are documents of their own; null, empty and blank texts have no
+    lines; an empty table gives no rows.
+    """
     split = F.coalesce(F.split(F.col("text").cast("string"), "\n", -1), F.array().cast("array<string>"))
     full = F.size(F.filter(split, lambda x: x.rlike(r"\S")))
     kept = kept_lines(docs, similarity).withColumnRenamed("doc_id", "__fw_id")
