@@ -7,13 +7,15 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewright.llm.common import text_slices
 
 #: The classifier is fitted on this many labelled documents a language at most, of whose letters a dictionary holds so many bytes.
 FIT_DOCUMENTS, DICTIONARY_BYTES = 500, 400 << 10
+#: Languages beyond which fitting is refused, and what all dictionaries and all documents for them come to at most.
+MOST_LANGUAGES, ALL_BYTES, ALL_DOCUMENTS = 1000, 32 << 20, 20_000
 #: Bytes of letters that one of these documents gives at most.
 FIT_BYTES = 2048
 #: Bytes that are compressed at a time, so that the dictionary counts throughout a long text.
@@ -33,13 +35,18 @@ def letters(text: str) -> bytes:
 def fit(docs: DataFrame, documents: int = FIT_DOCUMENTS, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
     """A dictionary of each language, from rows of text and non-null lang.
 
-    The rows are those with the smallest hashes of their texts, at most `documents` a language; of these, each
-    gives FIT_BYTES at most. Repeated texts count once. No labelled letters: no language.
+    The texts of a language are dealt by a hash into `documents` slots, and the one with the smallest hash in each is
+    chosen, by partial minima, so that a language may hold any share of the rows; of these, each gives FIT_BYTES at
+    most. Where there are many languages, each has fewer documents and bytes, within ALL_DOCUMENTS and ALL_BYTES; more
+    than MOST_LANGUAGES are an error. Repeated texts count once. No labelled letters: no language.
     """
     rows = docs.select("text", "lang").where("text is not null and lang is not null").withColumn("h", F.xxhash64("text"))
-    order = Window.partitionBy("lang").orderBy("h")
-    first = rows.select("lang", "h").distinct().withColumn("n", F.row_number().over(order))
-    chosen = first.where(F.col("n") <= documents).select("lang", "h")
+    languages = rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).count()
+    if languages > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages; dictionaries of all are held in every task")
+    documents, size = min(documents, ALL_DOCUMENTS // max(1, languages)), min(size, ALL_BYTES // max(1, languages))
+    slot = F.pmod(F.xxhash64(F.lit("slot"), "text"), F.lit(documents))
+    chosen = rows.groupBy("lang", slot.alias("slot")).agg(F.min("h").alias("h")).select("lang", "h")
     part = F.substring("text", 1, 4 * FIT_BYTES)
     got = rows.join(F.broadcast(chosen), ["lang", "h"]).select("lang", "h", part.alias("text")).dropDuplicates(["lang", "h"]).collect()
     made: dict[str, bytes] = {}
@@ -109,12 +116,16 @@ def held_out(doc_id: F.Column | str = "doc_id") -> F.Column:
 
 
 def language_filter(docs: DataFrame, margin: float = LEAST_MARGIN) -> DataFrame:
-    """The rows of docs, whole, whose prediction is accepted; fitted on the labelled rows that are not held out."""
+    """The rows of docs, whole, whose prediction is accepted; fitted on the labelled rows that are not held out.
+
+    Null texts, texts without letters and ties go; rows that share a doc_id are judged one by one, and repeated rows
+    stay or go together. Columns keep their names, whatever these are; an empty table gives no rows.
+    """
     return filtered(docs, fit(docs.where(~held_out())), margin)
 
 
 def filtered(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = LEAST_MARGIN) -> DataFrame:
-    """The rows of docs, whole, whose prediction is accepted."""
+    """The rows of docs, whole, whose prediction is accepted: language_filter() with dictionaries that are there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Classifier(dictionaries)

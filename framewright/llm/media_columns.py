@@ -206,7 +206,11 @@ def features(got: Demuxed) -> str:
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """Read stored streams back: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature. Null media is an empty stream."""
+    """Read stored streams back: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, pts, random_access.
+
+    pts has the time stamp of each elementary packet (-1: none), random_access the numbers of those that can be entered
+    at. Null media is an empty stream, without packets; repeated rows stay; an empty table gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,9 +218,10 @@ def media_features(media: DataFrame) -> DataFrame:
             for stored in batch.column("media"):
                 raw = stored.as_py() or b""
                 got = demux(raw)
-                rows.append((len(got.payload), hashlib.sha256(got.payload).hexdigest(), zlib.crc32(got.payload[-32:]), len(raw), hashlib.sha256(raw).hexdigest(), features(got)))
-            made = [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)] if rows else None
+                rows.append((len(got.payload), hashlib.sha256(got.payload).hexdigest(), zlib.crc32(got.payload[-32:]), len(raw), hashlib.sha256(raw).hexdigest(), features(got), got.pts, np.flatnonzero(got.random_access)))
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            made = [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else None
             if made:
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *made], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *made], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pts", "random_access"])
 
-    return media.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pts array<long>, random_access array<long>")

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.common import text_slices, utf8_rows
+from framewright.llm.common import rows_apart, text_slices, utf8_rows
 
 #: Bytes the rolling hash looks back on: one for each bit of its 32-bit value.
 WINDOW = 32
@@ -67,7 +67,7 @@ def chunks(texts: list[bytes], cut_bits: int = CUT_BITS) -> tuple[np.ndarray, np
 
 
 def chunk_digests(docs: DataFrame, cut_bits: int = CUT_BITS, least: int = LEAST_CHUNK) -> DataFrame:
-    """(doc_id, at, size, hi, lo): place, bytes and 128-bit digest of every chunk of at least `least` bytes."""
+    """(doc_id, at, size, hi, lo): place, bytes and 128-bit digest of every chunk of at least `least` bytes. Null and empty texts have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
@@ -128,15 +128,22 @@ def repeated_spans(docs: DataFrame, cut_bits: int = CUT_BITS, least_chunk: int =
     Documents without such a span, empty and null texts have no row or empty lists.
     """
     occ = chunk_digests(docs, cut_bits, least_chunk)
-    found = occ.groupBy("hi", "lo").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    marked = occ.join(found, ["hi", "lo"]).select("doc_id", "at", "size", "hi", "lo", (F.coalesce("first", F.lit(-1)) != F.coalesce("last", F.lit(-1))).alias("elsewhere"), (F.col("doc_id").isNull() | (F.col("doc_id") > F.col("first"))).alias("later"))
+    found = occ.groupBy("hi", "lo").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("known")).where("n > 1")
+    elsewhere = F.coalesce(F.col("first") != F.col("last"), F.lit(False)) | ((F.col("known") > 0) & (F.col("known") < F.col("n")))
+    later = F.when(F.col("doc_id").isNull(), F.col("known") > 0).otherwise(F.col("doc_id") > F.col("first"))
+    marked = occ.join(found, ["hi", "lo"]).select("doc_id", "at", "size", "hi", "lo", elsewhere.alias("elsewhere"), later.alias("later"))
     lists = marked.groupBy("doc_id").agg(F.collect_list(F.struct("at", "size", "hi", "lo", "elsewhere", "later")).alias("chunks"))
     kind = "array<struct<start: bigint, end: bigint>>"
     return lists.mapInArrow(_spans(bridge, least_span), f"doc_id long, repeated {kind}, removed {kind}")
 
 
+@rows_apart
 def substring_dedup(docs: DataFrame, **options: int) -> DataFrame:
-    """The rows of docs, each text without its removed spans; cuts inside a character drop that character."""
+    """The rows of docs, each text without its removed spans; cuts inside a character drop that character.
+
+    Rows that share a doc_id, nulls among them, are documents of their own; null and empty texts stay as they are,
+    and an empty table gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,8 +164,13 @@ def substring_dedup(docs: DataFrame, **options: int) -> DataFrame:
     return both.mapInArrow(run, docs.schema)
 
 
+@rows_apart
 def span_report(docs: DataFrame, **options: int) -> DataFrame:
-    """A row for each row of docs: doc_id, n_bytes, repeated_bytes, removed_bytes, and both lists of byte spans."""
+    """A row for each row of docs: doc_id, n_bytes, repeated_bytes, removed_bytes, and both lists of byte spans.
+
+    Rows that share a doc_id, nulls among them, are documents of their own; null and empty texts have no spans; an
+    empty table gives no rows.
+    """
     spans = repeated_spans(docs, **options)
     total = lambda c: F.aggregate(F.coalesce(c, F.array()), F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
     sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long").alias("n_bytes"))
