@@ -21,6 +21,8 @@ CANDIDATE, THRESHOLD = r"[A-Za-z0-9+/_-]{16,}={0,2}", 0.35
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-="
 #: Labelled samples that the models are trained from: so many random strings, and so many documents whose words make identifiers.
 RANDOM_SAMPLES, IDENTIFIER_DOCUMENTS = 4000, 2000
+#: Matches of a text whose places are added up together.
+BLOCK = 64
 
 
 def random_samples(spark: SparkSession, n: int = RANDOM_SAMPLES) -> DataFrame:
@@ -70,14 +72,32 @@ def score(token: Column, table: list[float], alphabet: str = ALPHABET) -> Column
     return F.when(F.size(steps) > 0, F.aggregate(steps, F.lit(0.0), lambda s, x: s + x) / F.size(steps)).otherwise(F.lit(0.0))
 
 
+def _let(value: Column, body) -> Column:  # noqa: ANN001
+    """body(value), for which value is computed once a row."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def found(text: Column, pattern: str) -> Column:
-    """Matches of a pattern as structs of start, end (code points, end exclusive) and value, leftmost and non-overlapping."""
-    between = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start: int, end: int, value: string>>").alias("out"))
-    joined = F.arrays_zip(hits.alias("value"), F.slice(between, 1, F.size(hits)).alias("gap"))
-    step = lambda s, x: F.struct((s["at"] + x["gap"] + F.length(x["value"])).alias("at"), F.concat(s["out"], F.array(F.struct((s["at"] + x["gap"]).alias("start"), (s["at"] + x["gap"] + F.length(x["value"])).alias("end"), x["value"].alias("value")))).alias("out"))
-    return F.aggregate(joined, zero, step, lambda s: s["out"])
+    """Matches of a pattern as structs of start, end (code points, end exclusive) and value, leftmost and non-overlapping.
+
+    Starts are sums of what stands before them: over whole blocks of BLOCK matches, then within a block, so that no
+    text, however many matches it has, adds up each from its beginning.
+    """
+    span = lambda x: x["gap"] + F.length(x["value"])
+    summed = lambda xs, f: F.aggregate(xs, F.lit(0), lambda s, x: s + f(x))
+    pairs = lambda hits: F.zip_with(F.slice(F.transform(F.split(text, pattern, -1), lambda x: F.length(x)), 1, F.size(hits)), hits, lambda g, v: F.struct(g.alias("gap"), v.alias("value")))
+    cut = lambda all_: F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.lit(0), F.size(all_) - 1) / BLOCK).cast("int")), lambda b: F.slice(all_, b * BLOCK + 1, F.lit(BLOCK)))
+
+    def within(block: Column, before: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            start = before + summed(F.slice(block, F.lit(1), i), span) + x["gap"]
+            return F.struct(start.alias("start"), (start + F.length(x["value"])).alias("end"), x["value"].alias("value"))
+
+        return F.transform(block, one)
+
+    placed = lambda blocks, totals: F.flatten(F.transform(blocks, lambda block, b: _let(summed(F.slice(totals, F.lit(1), b), lambda x: x), lambda before: within(block, before))))
+    whole = lambda all_: _let(cut(all_), lambda blocks: _let(F.transform(blocks, lambda block: summed(block, span)), lambda totals: placed(blocks, totals)))
+    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda hits: _let(pairs(hits), whole))
 
 
 def _where(text: Column, quick: str, pattern: str) -> Column:
@@ -130,18 +150,22 @@ def secret_report(docs: DataFrame, table: list[float] | None = None, threshold:
     return rows.select("doc_id", n("assign").alias("n_assign"), n("access").alias("n_access"), n("hex").alias("n_hex"), F.sha2(base, 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), n("random").alias("n_random"))
 
 
-def redacted(docs: DataFrame, table: list[float], mark: str = "[secret]") -> DataFrame:
-    """The rows of docs, each span of a secret replaced by mark; spans that overlap are replaced together."""
-    keyed = docs.withColumn("__fw_spans", _spans_of(docs, table))
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    text = F.col("text")
-    step = lambda s, x: F.when(x["end"] <= s["at"], s).otherwise(F.struct(x["end"].alias("at"), F.concat(s["out"], F.when(x["start"] >= s["at"], F.concat(F.substring(text, s["at"] + 1, x["start"] - s["at"]), F.lit(mark))).otherwise(F.lit(""))).alias("out")))
-    cut = F.aggregate("__fw_spans", zero, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    return keyed.withColumn("text", F.when(F.size("__fw_spans") > 0, cut).otherwise(text)).select(*(F.col(f"`{c}`") for c in docs.columns))
-
+def redacted(docs: DataFrame, table: list[float], mark: str = "[secret]", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, each secret replaced by mark, kind after kind: what one kind has left is what the next one sees.
 
-def _spans_of(docs: DataFrame, table: list[float], threshold: float = THRESHOLD) -> Column:
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    random = F.filter(_where(text, r"[A-Za-z0-9+/_-]{16}", CANDIDATE), lambda x: score(x["value"], table) >= threshold)
-    assign = F.filter(_where(text, r"(?i:passw|secret|token|api_?key)", ASSIGN), lambda x: F.length(F.regexp_replace(x["value"], ASSIGN_HEAD, "")) >= LEAST["assign"])
-    return F.array_sort(F.concat(random, assign, _where(text, "AKIA[A-Z0-9]{16}", "AKIA[A-Z0-9]{16,}"), _where(text, "[0-9a-f]{24}", "[0-9a-f]{24,}")))
+    Null texts stay null and repeated rows stay; columns keep their names; an empty table gives no rows.
+    """
+    kinds = {
+        ASSIGN: lambda v: F.length(F.regexp_replace(v, ASSIGN_HEAD, "")) >= LEAST["assign"],
+        "AKIA[A-Z0-9]{16,}": lambda v: v.isNotNull(),
+        "[0-9a-f]{24,}": lambda v: v.isNotNull(),
+        CANDIDATE: lambda v: score(v, table) >= threshold,
+    }
+    def replaced(good):  # noqa: ANN001, ANN202
+        return lambda gap, v: F.concat(gap, F.when(v.isNull(), "").when(good(v), mark).otherwise(v))
+
+    out = docs
+    for pattern, good in kinds.items():
+        text = F.array_join(F.zip_with(F.split("text", pattern, -1), F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), replaced(good)), "")
+        out = out.withColumn("text", F.when(F.col("text").rlike(pattern), text).otherwise(F.col("text")))
+    return out
