@@ -21,7 +21,7 @@ from framewright.llm.common import materialize, rows_apart, text_slices, utf8_ro
 BLOCK, SEED = 64, 20_240_229
 WEIGHTS, SHARE, MOST = (5.0, 2.0, 1.0), 1.5, 2.0
 #: Slots of an output shard, and the most shards that there are; beyond that shards grow.
-SHARD_SLOTS, MOST_SHARDS = 4096, 4096
+SHARD_SLOTS, MOST_SHARDS = 4096, 1 << 20
 #: Sources beyond which the driver refuses to plan.
 MOST_SOURCES = 50_000
 #: Documents that share a bucket, within which offsets are summed in order.
@@ -39,7 +39,7 @@ class Plan:
     blocks: np.ndarray
     slots: np.ndarray
     last_words: np.ndarray
-    shards: np.ndarray  # slots by shard and source
+    shards: int
 
 
 def targets(sizes: np.ndarray, weights: np.ndarray, share: float = SHARE, most: float = MOST) -> np.ndarray:
@@ -57,8 +57,15 @@ def targets(sizes: np.ndarray, weights: np.ndarray, share: float = SHARE, most:
     return out
 
 
-def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """A pseudorandom permutation of range(n) for each key, at index: four Feistel rounds, walked until within n."""
+def _round(right: np.ndarray, r: int, key: np.ndarray) -> np.ndarray:
+    x = (right + np.uint64((r + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) ^ key
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray, back: bool = False) -> np.ndarray:
+    """A pseudorandom permutation of range(n) for each key, at index: four Feistel rounds, walked until within n. back: its inverse."""
     index, n = index.astype(np.uint64), np.broadcast_to(n, index.shape).astype(np.uint64)
     key = np.broadcast_to(key, index.shape).astype(np.uint64)
     half = np.ones(len(index), np.uint64)
@@ -70,10 +77,10 @@ def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
         mask = (np.uint64(1) << h) - np.uint64(1)
         left, right = out[todo] >> h, out[todo] & mask
         for r in range(4):
-            x = (right + np.uint64((r + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) ^ k
-            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            left, right = right, left ^ ((x ^ (x >> np.uint64(31))) & mask)
+            if back:
+                left, right = right ^ (_round(left, 3 - r, k) & mask), left
+            else:
+                left, right = right, left ^ (_round(right, r, k) & mask)
         out[todo] = left << h | right
         todo = todo[out[todo] >= n[todo]]
     return out.astype(np.int64)
@@ -85,20 +92,32 @@ def source_keys(sources: list[str | None], seed: int) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(b"\xff" if s is None else s.encode(), seed) for s in sources], np.uint64)
 
 
-def draw(slots: np.ndarray, shards: int, seed: int = SEED) -> np.ndarray:
-    """Slots of each source by output shard: multinomial draws, on what each source has left, so that sums are kept."""
-    rng, left, out = np.random.default_rng(seed), slots.astype(np.int64).copy(), []
-    for i in range(shards):
-        take = -(-int(left.sum()) // (shards - i))
-        got = np.zeros_like(left)
-        while take > 0:
-            room = left - got
-            more = np.minimum(rng.multinomial(take, room / room.sum()), room)
-            got += more
-            take -= int(more.sum())
-        out.append(got)
-        left -= got
-    return np.array(out, np.int64).reshape(shards, len(slots))
+def drawn(slots: np.ndarray, take: int, rng: np.random.Generator) -> np.ndarray:
+    """`take` of the slots, so many of each source: multinomial draws by what each has left, so that none gives more."""
+    got = np.zeros_like(slots)
+    while take > 0:
+        room = slots - got
+        more = np.minimum(rng.multinomial(take, room / room.sum()), room)
+        got += more
+        take -= int(more.sum())
+    return got
+
+
+def shard_slots(slots: np.ndarray, shards: int, shard: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """For one output shard, the first slot of each source and how many it has.
+
+    All slots are divided in two by a draw, each half again, down to single shards; a seed for each division makes
+    any task find its shards alone, in a number of draws that is logarithmic in the shards. Sums are kept.
+    """
+    low, high, first, left = 0, shards, np.zeros(len(slots), np.int64), slots.astype(np.int64)
+    while high - low > 1:
+        middle = (low + high) // 2
+        part = drawn(left, int(left.sum()) * (middle - low) // (high - low), np.random.default_rng([seed, low, high]))
+        if shard < middle:
+            left, high = part, middle
+        else:
+            first, left, low = first + part, left - part, middle
+    return first, left
 
 
 def plan(sizes: dict[str | None, int], weights: dict[str | None, float] | None = None, block: int = BLOCK, seed: int = SEED, share: float = SHARE, most: float = MOST) -> Plan:
@@ -121,7 +140,7 @@ def plan(sizes: dict[str | None, int], weights: dict[str | None, float] | None =
         # The shorter last block of a source stands somewhere in the permuted order.
         tail, order = int(size[i]) - (n - 1) * block, 0
         if rest:
-            order = next(k for a in range(0, n, 1 << 20) if len(hit := np.flatnonzero(permuted(np.arange(a, min(n, a + (1 << 20))), np.array(n), keys[i : i + 1]) == n - 1)) for k in [a + int(hit[0])])
+            order = int(permuted(np.array([n - 1]), np.array(n), keys[i : i + 1], back=True)[0])
             before = order * block
             if rest <= before:
                 whole, part = divmod(rest, block)
@@ -135,19 +154,20 @@ def plan(sizes: dict[str | None, int], weights: dict[str | None, float] | None =
         else:
             slots[i] = epochs * n
     shards = int(min(MOST_SHARDS, max(1, -(-int(slots.sum()) // SHARD_SLOTS))))
-    return Plan(sources, size, want, blocks, slots, last, draw(slots, shards, seed))
+    return Plan(sources, size, want, blocks, slots, last, shards)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size): words of each whole text; null has none."""
+    """(doc_id, source, size, h): words and a hash of each whole text; null has none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch):
                 sizes = [len(t.split()) for t in utf8_rows(part.column("text"))]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("source"), pa.array(sizes, pa.int64())], ["doc_id", "source", "size"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("source"), pa.array(sizes, pa.int64()), part.column("h")], ["doc_id", "source", "size", "h"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, source string, size long")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), text, F.xxhash64(text).alias("h")).mapInArrow(run, "doc_id long, source string, size long, h long")
 
 
 def _numbered(spark, p: Plan) -> DataFrame:
@@ -156,57 +176,60 @@ def _numbered(spark, p: Plan) -> DataFrame:
 
 
 def pieces(rows: DataFrame, p: Plan, block: int = BLOCK) -> DataFrame:
-    """(doc_id, no, block, start, n): which words of each document, from start, stand in which block of its source.
+    """(row, doc_id, no, block, at, start, n): which words of each document, from start, stand where in which block of its source.
 
     Offsets are sums of sums: of hashed buckets of a source, then of documents within a bucket, so no task goes
-    through a whole source.
+    through a whole source. Documents without an id are dealt by their rows too, as there may be any number of copies.
     """
     spark = rows.sparkSession
     buckets = max(1, -(-rows.count() // BUCKET))
     numbered = F.broadcast(_numbered(spark, p).select(F.col("source").alias("__fw_source"), "no"))
-    placed = rows.where("size > 0").join(numbered, F.col("source").eqNullSafe(F.col("__fw_source"))).select("doc_id", "no", "size", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("bucket"))
+    salt = F.when(F.col("doc_id").isNull(), F.col("row")).otherwise(F.lit(0).cast("long"))
+    placed = rows.where("size > 0").join(numbered, F.col("source").eqNullSafe(F.col("__fw_source"))).select("row", "doc_id", "h", "no", "size", F.pmod(F.xxhash64("doc_id", "h", salt), F.lit(buckets)).alias("bucket"))
     sums = placed.groupBy("no", "bucket").agg(F.sum("size").alias("words"))
     base = sums.select("no", "bucket", (F.sum("words").over(Window.partitionBy("no").orderBy("bucket")) - F.col("words")).alias("base"))
-    order = Window.partitionBy("no", "bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("no", "bucket").orderBy("doc_id", "h", "row").rowsBetween(Window.unboundedPreceding, 0)
     inner = placed.withColumn("upto", F.sum("size").over(order))
     spans = inner.join(base, ["no", "bucket"]).withColumn("first", F.col("base") + F.col("upto") - F.col("size"))
     last = F.expr(f"(first + size - 1) div {block}")
-    cut = spans.select("doc_id", "no", "size", "first", F.explode(F.sequence(F.expr(f"first div {block}"), last)).alias("block"))
+    cut = spans.select("row", "doc_id", "no", "size", "first", F.explode(F.sequence(F.expr(f"first div {block}"), last)).alias("block"))
     start = F.greatest(F.lit(0), F.col("block") * block - F.col("first"))
     end = F.least(F.col("size"), (F.col("block") + 1) * block - F.col("first"))
-    return cut.select("doc_id", "no", "block", (F.greatest(F.lit(0), F.col("first") - F.col("block") * block)).alias("at"), start.alias("start"), (end - start).alias("n"))
+    return cut.select("row", "doc_id", "no", "block", (F.greatest(F.lit(0), F.col("first") - F.col("block") * block)).alias("at"), start.alias("start"), (end - start).alias("n"))
 
 
 def slots(spark, p: Plan, seed: int = SEED) -> DataFrame:
     """(shard, no, slot, epoch, block, words): every slot of the mix and the block that it takes; words null: the whole block."""
-    before = np.cumsum(p.shards, axis=0) - p.shards
-    shard, no = np.nonzero(p.shards)
-    runs = spark.createDataFrame(pd.DataFrame({"shard": shard, "no": no.astype(np.int32), "first": before[shard, no], "n": p.shards[shard, no]}), "shard long, no int, first long, n long")
     keys, sizes = source_keys(p.sources, seed), p.blocks
-    total, part = p.slots, p.last_words
+    total, part, shards = p.slots, p.last_words, p.shards
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for row in f.itertuples():
-                for a in range(row.first, row.first + row.n, 1 << 18):
-                    at = np.arange(a, min(row.first + row.n, a + (1 << 18)))
-                    n = int(sizes[row.no])
-                    block = permuted(at % n, np.array(n), keys[row.no : row.no + 1])
-                    words = np.where((at == total[row.no] - 1) & (part[row.no] > 0), part[row.no], -1)
-                    yield pd.DataFrame({"shard": row.shard, "no": row.no, "slot": at, "epoch": at // n, "block": block, "words": words})
+            for shard in f["id"].tolist():
+                first, own = shard_slots(total, shards, shard, seed)
+                ends = np.cumsum(own)
+                for a in range(0, int(own.sum()), 1 << 18):
+                    k = np.arange(a, min(int(own.sum()), a + (1 << 18)))
+                    no = np.searchsorted(ends, k, "right")
+                    at = first[no] + k - (ends - own)[no]
+                    block = permuted(at % sizes[no], sizes[no], keys[no])
+                    words = np.where((at == total[no] - 1) & (part[no] > 0), part[no], -1)
+                    yield pd.DataFrame({"shard": shard, "no": no.astype(np.int32), "slot": at, "epoch": at // sizes[no], "block": block, "words": words})
 
-    return runs.repartition(max(1, min(len(shard), spark.sparkContext.defaultParallelism))).mapInPandas(run, "shard long, no int, slot long, epoch long, block long, words long")
+    tasks = max(1, min(shards, spark.sparkContext.defaultParallelism))
+    return spark.range(0, shards, 1, tasks).mapInPandas(run, "shard long, no int, slot long, epoch long, block long, words long")
 
 
 def mixed(rows: DataFrame, p: Plan, block: int = BLOCK, seed: int = SEED) -> DataFrame:
-    """(shard, no, slot, epoch, doc_id, start, n): the words of documents that every slot of the mix takes."""
+    """(shard, no, slot, epoch, row, doc_id, start, n): the words of documents that every slot of the mix takes."""
     joined = pieces(rows, p, block).join(slots(rows.sparkSession, p, seed), ["no", "block"])
     n = F.when(F.col("words") < 0, F.col("n")).otherwise(F.greatest(F.lit(0), F.least(F.col("n"), F.col("words") - F.col("at"))))
-    return joined.select("shard", "no", "slot", "epoch", "doc_id", "start", n.alias("n")).where("n > 0")
+    return joined.select("shard", "no", "slot", "epoch", "row", "doc_id", "start", n.alias("n")).where("n > 0")
 
 
 def prepared(docs: DataFrame, block: int = BLOCK, seed: int = SEED, weights: dict[str | None, float] | None = None) -> tuple[DataFrame, Plan]:
-    rows = materialize(word_counts(docs), "mix-sizes")
+    # Written, so that the numbers of the rows hold.
+    rows = materialize(word_counts(docs).withColumn("row", F.monotonically_increasing_id()), "mix-sizes")
     sizes = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.sum("size").alias("n")).limit(MOST_SOURCES + 1).collect()}
     return rows, plan(sizes, weights, block, seed)
 
@@ -215,24 +238,15 @@ def mix_report(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFra
     """A row for each row of docs: doc_id, size, source_size, target (its source's), taken (words, repeats counted).
 
     The words taken of a source are its target, rounded; no document gives more than twice its size. The result
-    depends on the rows and the seed alone. A document without words has size and taken 0; rows that share doc_id
-    and source are one document to the mix, and their words are shared out in proportion to their sizes. A null
-    doc_id is a document after the others.
+    depends on the rows and the seed alone, but for copies that share an id or have none, which may change places.
+    A document without words has size and taken 0; rows that share a doc_id are documents of their own; an empty
+    table gives no rows.
     """
     rows, p = prepared(docs, block, seed)
-    got = mixed(rows, p, block, seed).groupBy("doc_id", "no").agg(F.sum("n").alias("got"))
-    numbered = F.broadcast(_numbered(docs.sparkSession, p).select(F.col("source").alias("__fw_source"), "no", "source_size", "target"))
+    got = mixed(rows, p, block, seed).groupBy("row").agg(F.sum("n").alias("got"))
+    numbered = F.broadcast(_numbered(docs.sparkSession, p).select(F.col("source").alias("__fw_source"), "source_size", "target"))
     known = rows.join(numbered, F.col("source").eqNullSafe(F.col("__fw_source")))
-    repeated = rows.groupBy("doc_id", "source").count().where("count > 1").limit(1).count()
-    got = got.select(F.col("doc_id").alias("__fw_id"), F.col("no").alias("__fw_no"), "got")
-    both = known.join(got, F.col("doc_id").eqNullSafe(F.col("__fw_id")) & (F.col("no") == F.col("__fw_no")), "left")
-    taken = F.coalesce("got", F.lit(0).cast("long"))
-    if repeated:
-        one = Window.partitionBy("doc_id", "no").orderBy("size")
-        upto, total = F.sum("size").over(one.rowsBetween(Window.unboundedPreceding, 0)), F.sum("size").over(Window.partitionBy("doc_id", "no"))
-        both = both.withColumn("upto", upto).withColumn("total", F.greatest(total, F.lit(1)))
-        taken = F.expr("coalesce(got * upto div total - got * (upto - size) div total, 0L)")
-    return both.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    return known.join(got, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("got", F.lit(0).cast("long")).alias("taken"))
 
 
 @rows_apart
@@ -240,7 +254,8 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, seed: int = SEED, weigh
     """The mix as documents with the columns of docs: for each time that it goes through a source, a row of each of its documents that it takes words of.
 
     Such a row has the words taken, runs of them as they stand in the text and parted by a line feed, and n_chars,
-    where there is one, to match; other columns stay. Documents without words are not in a mix.
+    where there is one, to match; other columns stay. Documents without words are not in a mix. Rows that share a
+    doc_id, nulls among them, are documents of their own; an empty table gives no rows.
     """
     rows, p = prepared(docs, block, seed, weights)
     runs = mixed(rows, p, block, seed).groupBy("doc_id", "epoch").agg(F.collect_list(F.struct("start", "n")).alias("__fw_runs")).withColumnRenamed("doc_id", "__fw_id").drop("epoch")
