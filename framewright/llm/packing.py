@@ -1,9 +1,9 @@
 """Mixture-controlled packing: deficit round-robin over source queues.
 
-Every window of LENGTH tokens is filled to target proportions, those in which the sources have tokens left; what a
-source falls short of by fractions of a token is its deficit, served first in later windows. Windows are packed in
-partitions of many; how far each source has come where a partition begins is planned by the same round-robin over
-partitions, so deficits carry across both.
+Every window of LENGTH tokens is filled to target proportions; what a source falls short of by fractions of a token is
+its deficit, served first in later windows. A source is served until it runs dry; the others then share its part by
+their targets. Windows are packed in partitions of many; how far each source has come where a partition begins is
+planned by the same round-robin over partitions, so deficits carry across both.
 """
 
 from __future__ import annotations
@@ -14,10 +14,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from framewright.llm.mixing import MOST_SOURCES
+from framewright.llm.common import materialize
+from framewright.llm.mixing import MOST_SOURCES, WEIGHTS
 from framewright.llm.tokens import END, id_type, token_table
 
 LENGTH = 2048
@@ -25,62 +26,63 @@ LENGTH = 2048
 WINDOWS, MOST_PARTITIONS = 256, 1 << 18
 #: Entries of the driver's plan (partitions times sources).
 MOST_ENTRIES = 1 << 23
+#: Rows of the queues' starts by task that are broadcast at most; more are joined by a shuffle.
+MOST_BASES = 1 << 19
 
 
 def served(share: np.ndarray, deficit: np.ndarray, left: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Tokens that each queue gives to a window of `size`, and the deficits after it.
 
-    Each deficit grows by the queue's share of the window; whole tokens are served, the rest goes one by one to the
-    largest deficits, or, where queues run dry, in turn to what is left.
+    A queue is due its share of the window and its deficit. Queues that have less give what they have, and the others
+    take over the rest in proportion; whole tokens are served, the last ones to the largest remainders.
     """
-    due = deficit + share * size
-    take = np.clip(np.floor(due + 1e-9).astype(np.int64), 0, left)
-    short = size - int(take.sum())
-    while short < 0:  # deficits of queues that had run dry
-        most = np.argmax(np.where(take > 0, take - due, -np.inf))
-        take[most] -= 1
-        short += 1
-    while short > 0:
+    due = np.where(left > 0, np.maximum(deficit + share * size, 0), 0)
+    dry, exact = left <= 0, left.astype(float)
+    while not dry.all():
+        weight = due if due[~dry].sum() > 0 else left.astype(float)
+        give = weight * ((size - left[dry].sum()) / weight[~dry].sum())
+        over = ~dry & (give >= left)
+        if not over.any():
+            exact = np.where(dry, left, give)
+            break
+        dry |= over
+    take = np.minimum(np.floor(exact + 1e-9).astype(np.int64), left)
+    while (short := size - int(take.sum())) > 0:
         open_ = np.flatnonzero(left > take)
-        order = open_[np.argsort(-(due - take)[open_], kind="stable")]
-        if short < len(order):
-            order = order[:short]
-        each = np.minimum(left[order] - take[order], max(1, short // len(order)))
-        take[order] += each
-        short -= int(each.sum())
-    return take, due - take
-
-
-def planned(totals: np.ndarray, length: int = LENGTH, windows: int = WINDOWS) -> tuple[np.ndarray, int]:
-    """Tokens of each source before each partition (partitions + 1, sources), and the windows of a partition."""
-    total = int(totals.sum())
+        take[open_[np.argsort(-(exact - take)[open_], kind="stable")][:short]] += 1
+    return take, np.where(left > take, exact - take, 0)
+
+
+def planned(totals: np.ndarray, length: int = LENGTH, windows: int = WINDOWS, targets: np.ndarray | None = None) -> tuple[np.ndarray, int]:
+    """Tokens of each source before each partition (partitions + 1, sources), and the windows of a partition; without targets, the sources' own proportions."""
+    total, targets = int(totals.sum()), (totals if targets is None else targets).astype(float)
     most = max(1, min(MOST_PARTITIONS, MOST_ENTRIES // max(1, len(totals))))
     windows = max(windows, -(-total // (length * most)))
     size, count = windows * length, -(-total // (windows * length))
     at, out, deficit = np.zeros(len(totals), np.int64), [], np.zeros(len(totals))
-    share = totals / max(1, total)
     for _ in range(count):
         out.append(at.copy())
-        take, deficit = served(share, deficit, totals - at, min(size, total - int(at.sum())))
+        share = np.where(totals > at, targets, 0)
+        take, deficit = served(share / max(share.sum(), 1e-300), deficit, totals - at, min(size, total - int(at.sum())))
         at += take
     return np.array([*out, at], np.int64).reshape(len(out) + 1, len(totals)), windows
 
 
-def filled(quota: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Tokens of each source in each window (windows, sources) of a partition that has `quota` of them."""
+def filled(quota: np.ndarray, length: int = LENGTH, targets: np.ndarray | None = None) -> np.ndarray:
+    """Tokens of each source in each window (windows, sources) of a partition that has `quota` of them; without targets, in the proportions of the quota."""
     total, left, out, deficit = int(quota.sum()), quota.astype(np.int64).copy(), [], np.zeros(len(quota))
-    share = quota / max(1, total)
+    targets = (quota if targets is None else targets).astype(float)
     while total > 0:
-        size = min(length, total)
-        take, deficit = served(share, deficit, left, size)
+        size, share = min(length, total), np.where(left > 0, targets, 0)
+        take, deficit = served(share / max(share.sum(), 1e-300), deficit, left, size)
         out.append(take)
         left -= take
         total -= size
     return np.array(out, np.int64).reshape(-1, len(quota))
 
 
-def _rows(table: DataFrame, plan: np.ndarray, base: dict[tuple[int, str | None], int], number: dict[str | None, int], dtype: str) -> DataFrame:
-    """A row for each partition that a document reaches into, with the ids that it gives there."""
+def _rows(table: DataFrame, plan: np.ndarray, number: dict[str | None, int], dtype: str) -> DataFrame:
+    """A row for each partition that a document of table(doc_id, source, first, n, ids) reaches into, with the ids that it gives there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack, width = zstandard.ZstdDecompressor(), np.dtype(dtype).itemsize
@@ -89,9 +91,8 @@ def _rows(table: DataFrame, plan: np.ndarray, base: dict[tuple[int, str | None],
             for i in range(0, len(whole), 1024):
                 batch = whole.slice(i, 1024)
                 out: list[tuple] = []
-                for doc, source, part, before, n, ids in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "source", "part", "before", "n", "ids")), strict=True):
+                for doc, source, first, n, ids in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "source", "first", "n", "ids")), strict=True):
                     s = number[source]
-                    first = base[part, source] + before
                     cuts = plan[:, s]
                     k, end = int(np.searchsorted(cuts, first, "right")) - 1, int(np.searchsorted(cuts, first + n, "left"))
                     if end - k == 1:
@@ -111,10 +112,10 @@ def _rows(table: DataFrame, plan: np.ndarray, base: dict[tuple[int, str | None],
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def _pack(plan: np.ndarray, windows: int, length: int, dtype: str, with_ids: bool):
+def _pack(plan: np.ndarray, windows: int, length: int, targets: np.ndarray, dtype: str, with_ids: bool):
     def done(key: int, rows: list[tuple]) -> dict[str, list]:
         unpack, quota = zstandard.ZstdDecompressor(), plan[key + 1] - plan[key]
-        takes = filled(quota, length)
+        takes = filled(quota, length, targets)
         # Within a window the sources stand one after the other.
         offset = np.cumsum(takes, axis=1) - takes
         ends = np.cumsum(takes, axis=0)
@@ -165,25 +166,28 @@ def _pack(plan: np.ndarray, windows: int, length: int, dtype: str, with_ids: boo
     return run
 
 
-def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end: int = END, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end: int = END, with_ids: bool = False, weights: dict[str | None, float] | None = None) -> DataFrame:
     """A row for each piece of a document in a sequence: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids if wanted.
 
-    Each token of each row of docs, the end ids included, lies in exactly one piece; all sequences but the last are
-    full. Null texts have the end id alone; an empty table gives no rows. The order of a source is that of the table.
+    weights are the sources' target proportions in every window; without them, sources by code point, null last,
+    weigh 5, 2, 1, repeating. Each token of each row of docs, the end ids included, lies in exactly one piece; all
+    sequences but the last are full. Null texts have the end id alone; repeated rows, and rows that share a doc_id,
+    are documents of their own; an empty table gives no rows. The order of a source is that of the table.
     """
     table = token_table(docs, path, end)
-    sums = table.groupBy("part", "source").agg(F.sum("n").alias("n")).collect()
-    sources = sorted({r["source"] for r in sums}, key=lambda s: (s is None, [ord(c) for c in s or ""]))
-    if len(sources) > MOST_SOURCES:
-        raise ValueError(f"{len(sources)} sources; packing is planned on the driver for at most {MOST_SOURCES}")
-    number = {s: i for i, s in enumerate(sources)}
-    totals, base = np.zeros(len(sources), np.int64), {}
-    for r in sorted(sums, key=lambda r: r["part"]):
-        base[r["part"], r["source"]] = int(totals[number[r["source"]]])
-        totals[number[r["source"]]] += r["n"]
-    plan, windows = planned(totals, length)
+    sums = table.groupBy("part", "source").agg(F.sum("n").alias("n"))
+    sizes = {r["source"]: r["n"] for r in sums.groupBy("source").agg(F.sum("n").alias("n")).limit(MOST_SOURCES + 1).collect()}
+    if len(sizes) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources; packing is planned on the driver")
+    sources = sorted(sizes, key=lambda s: (s is None, [ord(c) for c in s or ""]))
+    targets = np.array([WEIGHTS[i % len(WEIGHTS)] if weights is None else weights[s] for i, s in enumerate(sources)], float)
+    plan, windows = planned(np.array([sizes[s] for s in sources], np.int64), length, targets=targets)
+    before = F.sum("n").over(Window.partitionBy("source").orderBy("part")) - F.col("n")
+    base = materialize(sums.select(F.col("part").alias("__part"), F.col("source").alias("__source"), before.alias("base")), "pack-bases")
+    few = base.limit(MOST_BASES + 1).count() <= MOST_BASES
+    both = table.join(F.broadcast(base) if few else base, (F.col("part") == F.col("__part")) & F.col("source").eqNullSafe(F.col("__source")))
     dtype = id_type(path)
     # Repeated rows keep apart by their place in the queue.
-    rows = _rows(table, plan, base, number, dtype).repartition("partition").sortWithinPartitions("partition", "no", "at")
-    return rows.mapInArrow(_pack(plan, windows, length, dtype, with_ids), SCHEMA + (", ids array<long>" if with_ids else ""))
-
+    rows = _rows(both.select("doc_id", "source", (F.col("base") + F.col("before")).alias("first"), "n", "ids"), plan, {s: i for i, s in enumerate(sources)}, dtype)
+    ordered = rows.repartition("partition").sortWithinPartitions("partition", "no", "at")
+    return ordered.mapInArrow(_pack(plan, windows, length, targets, dtype, with_ids), SCHEMA + (", ids array<long>" if with_ids else ""))
