@@ -38,7 +38,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.fingerprint_report(documents(spark, sf_dir))
+    return fingerprints.grouped_report(documents(spark, sf_dir))
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ def op8_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_output.read_files(*token_output.write_files(documents(spark, sf_dir)))
+    return token_output.read_files(spark, token_output.write_files(documents(spark, sf_dir)))
 
 
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
