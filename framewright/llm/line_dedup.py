@@ -32,6 +32,8 @@ BLOCK = 8
 NEIGHBOURS = 2
 #: Lines of a band that are put in order together; more lines are dealt into groups of about so many.
 ORDERED = 1024
+#: Shingles that a task compares, about.
+TASK_SHINGLES = 1 << 20
 #: Lines of a band beyond which its pairs are found by a prefix filter.
 CROWDED = 64
 #: What the minima are taken of: hashes of 31 bits, exclusive or these. Their first bits all differ, so that each minimum is over shingles of its own.
@@ -176,13 +178,16 @@ def texts_of(docs: DataFrame, found: DataFrame, ids: DataFrame) -> DataFrame:
 
 def verified(docs: DataFrame, found: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """Of the pairs (a, b) of lines of found, a table of those whose exact Jaccard similarity is high enough."""
-    texts = materialize(texts_of(docs, found, pairs.select(F.explode(F.array("a", "b")).alias("line_id")).distinct()), "line-texts")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("line_id"))
+    texts = materialize(texts_of(docs, found, ends.distinct()), "line-texts")
+    shingles = ends.join(found.select("line_id", "n"), "line_id").agg(F.sum("n")).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-shingles // TASK_SHINGLES))
     at = lambda c: texts.select(F.col("line_id").alias(c), F.col("line").alias(f"line_{c}"))
-    # Merged by b, so that all shingles of a pair stay in the task that makes them.
-    both = pairs.join(at("a"), "a").join(at("b").hint("merge"), "b")
-    sides = both.select("a", "b", F.inline(F.array(*(F.struct(F.lit(i).alias("side"), F.col(f"line_{c}").alias("line")) for i, c in enumerate("ab")))))
-    shared = shingle_rows(sides).groupBy("a", "b", "s").agg(F.min("side").alias("lo"), F.max("side").alias("hi"))
-    sizes = shared.groupBy("a", "b").agg(F.sum(F.when(F.col("lo") < F.col("hi"), 1).otherwise(0)).alias("common"), F.count(F.lit(1)).alias("either"))
+    # Merged by b, so that all shingles of a pair stay in the task that makes them, and in so many parts that they fit.
+    both = pairs.join(at("a"), "a").repartition(parts, "b").join(at("b").repartition(parts, "b").hint("merge"), "b")
+    sides = both.select("a", "b", F.inline(F.array(*(F.struct(F.lit(i + 1).alias("side"), F.col(f"line_{c}").alias("line")) for i, c in enumerate("ab")))))
+    shared = shingle_rows(sides).groupBy("a", "b", "s").agg(F.bit_or("side").alias("sides"))
+    sizes = shared.groupBy("a", "b").agg(F.sum(F.when(F.col("sides") == 3, 1).otherwise(0)).alias("common"), F.count(F.lit(1)).alias("either"))
     links = materialize(sizes.where(F.col("common") >= similarity * F.col("either") - 1e-9).select("a", "b"), "line-links")
     forget(texts)
     return links
