@@ -35,6 +35,11 @@ def float_to_i32_asymmetric(x: Column) -> Column:
     return F.when(x >= 0, x * 2147483647).otherwise(x * 2147483648.0).cast("long")
 
 
+def float_to_s24_asymmetric(x: Column) -> Column:
+    x = clamp(x)
+    return F.when(x >= 0, x * 8388607).otherwise(x * 8388608).cast("int")
+
+
 def float_to_s24(x: Column) -> Column:
     return F.greatest(F.lit(-8388608), F.least(F.lit(8388607), F.round(x * 8388608).cast("long"))).cast("int")
 

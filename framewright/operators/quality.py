@@ -72,10 +72,10 @@ def energy_peak(samples: DataFrame, width: int, by: str, digits: int = 9) -> Dat
 
 
 def waveform_peaks(samples: DataFrame, bins: int, by: str) -> DataFrame:
-    """Largest amplitude of each of `bins` equal parts of a stream, of full scale."""
+    """Largest amplitude of each of `bins` equal parts of a stream of 16-bit samples x, of full scale."""
     sizes = samples.groupBy(by).agg(F.count(F.lit(1)).alias("of"))
     part = F.expr(f"cast(frame div ceil(of / {bins}.0) as bigint)").alias("bin")
-    return samples.join(sizes, by).select(by, part, "x").groupBy(by, "bin").agg((F.max(F.abs("x")) / 32768).alias("peak"))
+    return samples.join(sizes, by).select(by, part, "x").groupBy(by, "bin").agg((F.max(F.abs("x")) / F.lit(32768.0)).alias("peak"))
 
 
 def hotspots(frames: DataFrame, k: int, *tie: str) -> DataFrame:

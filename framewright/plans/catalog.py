@@ -2,38 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framewright.functions import pcm, sealing, text
 from framewright.operators import channels, framed, integrity, quality, resample, tags, timeline
 from framewright.plans import adapt
+from framewright.plans import header_catalog, table_catalog, wire_catalog  # noqa: F401  (their queries join the registry)
 from framewright.plans.adapt import EDITS, INDEX, INTS, ORDER, PAIRS, PLANES, SAMPLES, table
-
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str = "") -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
+from framewright.plans.registry import oracle_sql, queries, query  # noqa: F401
 
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:
     s = adapt.samples(spark, sf)
@@ -234,15 +211,18 @@ def tile_error_argmax(spark, sf):
     return t.withColumns({"rmse": F.round("rmse", 9), "max_abs": F.round("max_abs", 9)})
 
 
-@query(f"""WITH {SAMPLES}, c AS (SELECT stream_id, count(*) AS n FROM samples GROUP BY ALL)
-SELECT stream_id, CAST(frame // CAST(ceil(n / 10.0) AS BIGINT) AS BIGINT) AS bin, max(abs(x)) / 32768 AS peak FROM samples JOIN c USING (stream_id) GROUP BY ALL""")
+@query(f"""WITH {SAMPLES}, {INTS}, i AS (SELECT stream_id, frame, i16 FROM samples JOIN ints USING (event_id)), c AS (SELECT stream_id, count(*) AS n FROM i GROUP BY ALL)
+SELECT stream_id, CAST(frame // CAST(ceil(n / 10.0) AS BIGINT) AS BIGINT) AS bin, max(abs(i16)) / 32768.0::DOUBLE AS peak FROM i JOIN c USING (stream_id) GROUP BY ALL""")
 def waveform_peaks(spark, sf):
-    return quality.waveform_peaks(adapt.samples(spark, sf), 10, "stream_id")
+    return quality.waveform_peaks(adapt.samples(spark, sf).withColumn("x", pcm.float_to_i16_rounded(F.col("x"))), 10, "stream_id")
 
 
-@query("SELECT event_type AS backend, count(*) AS tracks, round(sum(value), 4) AS total, round(avg(value), 6) AS mean, max(value) AS most FROM events GROUP BY ALL")
+@query(f"""WITH {SAMPLES}, {PAIRS}, t AS (SELECT stream_id, count(*) AS n, sqrt(avg((ref-cand)*(ref-cand))) AS rmse, avg(abs(ref-cand)) AS mae, max(abs(ref-cand)) AS most FROM pairs GROUP BY ALL)
+SELECT stream_id % 3 AS backend, count(*) AS tracks, CAST(sum(n) AS BIGINT) AS samples, round(avg(rmse), 9) AS rmse, round(avg(mae), 9) AS mae, round(max(most), 9) AS most FROM t GROUP BY ALL""")
 def backend_aggregate(spark, sf):
-    return table(spark, sf, "events").groupBy(F.col("event_type").alias("backend")).agg(F.count(F.lit(1)).alias("tracks"), F.round(F.sum("value"), 4).alias("total"), F.round(F.avg("value"), 6).alias("mean"), F.max("value").alias("most"))
+    """Sums over a backend's tracks, means of the tracks' own measures, and the largest error of any."""
+    tracks = quality.compared(_pairs(spark, sf), "stream_id")
+    return tracks.groupBy((F.col("stream_id") % 3).alias("backend")).agg(F.count(F.lit(1)).alias("tracks"), F.sum("n").cast("long").alias("samples"), F.round(F.avg("rmse"), 9).alias("rmse"), F.round(F.avg("mean_abs"), 9).alias("mae"), F.round(F.max("max_abs"), 9).alias("most"))
 
 
 @query(f"""WITH {SAMPLES}, r AS (SELECT stream_id, frame, x FROM samples), c AS (SELECT stream_id, frame + stream_id % 5 - 2 AS frame, x FROM samples), k AS (SELECT unnest(range(-3, 4)) AS shift),
@@ -340,10 +320,11 @@ def graph_resolve(spark, sf):
     return clips.join(t("orders"), F.col("clip") == F.col("o_orderkey")).join(places, F.col("o_custkey") == F.col("c_custkey")).select("clip", "package", "references_n")
 
 
-@query("SELECT c_custkey AS track_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT p_partkey AS track_id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
 def orphan_anti_join(spark, sf):
-    tracks = table(spark, sf, "customer").select(F.col("c_custkey").alias("track_id"))
-    return integrity.orphans(tracks, table(spark, sf, "orders").select(F.col("o_custkey").alias("track_id")), ["track_id"])
+    tracks = table(spark, sf, "part").select(F.col("p_partkey").alias("track_id"))
+    described = table(spark, sf, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("track_id"))
+    return integrity.orphans(tracks, described, ["track_id"])
 
 
 @query("SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'R') ")
@@ -481,9 +462,12 @@ def number_pair(spark, sf):
     return table(spark, sf, "part").select("p_partkey", number.alias("number"), total.alias("total"))
 
 
-@query("SELECT page_id, CASE WHEN starts_with(html, '<!') THEN 'html' END AS kind, strlen(html) AS size FROM pages")
+@query("""SELECT event_id, CASE event_id % 14 WHEN 0 THEN 'ebml' WHEN 1 THEN 'ac3' WHEN 2 THEN 'mpeg-ps' WHEN 3 THEN 'riff' WHEN 4 THEN 'ogg' WHEN 5 THEN 'flac' WHEN 6 THEN 'mp4' WHEN 7 THEN 'id3' WHEN 8 THEN 'png' WHEN 9 THEN 'jpeg' WHEN 10 THEN 'gif' WHEN 11 THEN 'html' END AS kind FROM events""")
 def magic_sniff(spark, sf):
-    return table(spark, sf, "pages").select("page_id", text.sniffed(F.encode("html", "UTF-8")).alias("kind"), F.octet_length("html").alias("size"))
+    """Heads of all kinds, one of none, and one that is cut off."""
+    heads = [f"{'00' * at}{magic}77" for _, at, magic in text.MAGIC] + ["7F454C46", "1A45"]
+    e = table(spark, sf, "events").select("event_id", F.unhex(F.get(F.array(*map(F.lit, heads)), (F.col("event_id") % 14).cast("int"))).alias("data"))
+    return e.select("event_id", text.sniffed(F.col("data")).alias("kind"))
 
 
 @query("SELECT doc_id, sha256(text) AS sha256 FROM documents")
@@ -495,7 +479,7 @@ def content_sha256(spark, sf):
 def path_discovery(spark, sf):
     path = F.lower("url")
     found = table(spark, sf, "pages").where(path.contains("http") & path.contains("/"))
-    return found.groupBy(path.alias("path")).agg(F.min("page_id").alias("page_id")).orderBy("path")
+    return found.groupBy(path.alias("path")).agg(F.min("page_id").alias("page_id"))
 
 
 @query(f"""WITH {SAMPLES}, {INTS}, s AS (SELECT event_id, i16, (CASE WHEN i16 < 0 THEN -i16 - 1 ELSE i16 END) >> 4 AS s FROM ints),

@@ -132,9 +132,9 @@ def _progressive(data: bytes, own: dict[bytes, Box]) -> dict[str, np.ndarray] |
     opening = np.minimum(np.cumsum(per) - per, n - 1)
     offset = chunk[where] + before - before[opening[where]]
     sync = np.ones(n, bool)
-    if b"stss" in own:
+    # An empty list marks every sample.
+    if b"stss" in own and len(marked := _table(data, own[b"stss"], 1)[:, 0] - 1):
         sync[:] = False
-        marked = _table(data, own[b"stss"], 1)[:, 0] - 1
         sync[marked[(marked >= 0) & (marked < n)]] = True
     decode = np.cumsum(duration) - duration
     return {"offset": offset, "size": size, "decode_time": decode, "presentation_time": decode + shift, "duration": duration, "sync": sync}
@@ -238,17 +238,19 @@ def read_tracks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_packets(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each sample of files that can be read; read_tracks tells why others cannot."""
+    """A row for each sample; a file that cannot be read is one row that has an error."""
+    names = [c.split()[0] for c in f"{PACKETS}, error string".split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for p, data in zip(f["path"], f["content"], strict=True):
                 try:
                     got = packets(bytes(data))
-                except (Mp4Error, struct.error, KeyError):
+                except (Mp4Error, struct.error, KeyError) as e:
+                    yield pd.DataFrame([{"path": p, "error": str(e) or type(e).__name__}], columns=names, dtype=object)
                     continue
                 for i in range(0, len(got), 1 << 16):
                     part = got.iloc[i : i + (1 << 16)]
-                    yield part.assign(path=pd.Series([p] * len(part), part.index, dtype=object))[["path", *got.columns]]
+                    yield part.assign(path=pd.Series([p] * len(part), part.index, dtype=object), error=pd.Series([None] * len(part), part.index, dtype=object))[names]
 
-    return _files(spark, path).mapInPandas(run, PACKETS)
+    return _files(spark, path).mapInPandas(run, f"{PACKETS}, error string")

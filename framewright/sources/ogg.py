@@ -3,31 +3,31 @@
 from __future__ import annotations
 
 import struct
+import zlib
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 PAGES = "path string, page int, serial long, sequence long, granule long, first boolean, last boolean, continued boolean, checksum_ok boolean, packets int, body_bytes int"
 
 
-def _crc_table() -> np.ndarray:
-    out = np.arange(256, dtype=np.uint64) << np.uint64(24)
-    for _ in range(8):
-        out = ((out << np.uint64(1)) ^ np.where(out & np.uint64(0x80000000), np.uint64(0x04C11DB7), np.uint64(0))) & np.uint64(0xFFFFFFFF)
-    return out
+#: A byte with its bits in the other direction.
+_MIRROR = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
+_ALL = 0xFFFFFFFF
 
 
-_CRC = _crc_table().tolist()
+def _mirrored(x: int) -> int:
+    return int.from_bytes(x.to_bytes(4, "little").translate(_MIRROR), "big")
 
 
 def checksum(page: bytes) -> int:
-    """CRC-32 of a page whose own checksum field is zero: polynomial 04C11DB7, no reflection, no inversion."""
-    crc = 0
-    for b in page:
-        crc = (crc << 8 & 0xFFFFFFFF) ^ _CRC[crc >> 24 ^ b]
-    return crc
+    """CRC-32 of a page whose own checksum field is zero: polynomial 04C11DB7, no reflection, no inversion.
+
+    zlib's CRC has the same polynomial on mirrored bits, with inversions before and after: those of the value it
+    goes on from and of its result are undone here.
+    """
+    return _mirrored(zlib.crc32(page.translate(_MIRROR), _ALL) ^ _ALL)
 
 
 def page_bytes(serial: int, sequence: int, granule: int, packets: list[bytes], first: bool = False, last: bool = False) -> bytes:

@@ -77,7 +77,8 @@ def test_mp4_files(spark, tmp_path):
     (tmp_path / "c.mp4").write_bytes(b"")
     rows = {r["path"][-5:]: r for r in mp4.read_tracks(spark, str(tmp_path)).collect()}
     assert set(rows) == {"a.m4a", "b.mp4"} and rows["a.m4a"]["error"] is None and rows["b.mp4"]["error"]
-    assert mp4.read_packets(spark, str(tmp_path)).count() == 5
+    packets = mp4.read_packets(spark, str(tmp_path)).collect()
+    assert sum(r["error"] is None for r in packets) == 5 and [r["path"][-5:] for r in packets if r["error"]] == ["b.mp4"]
 
 
 def size_of(n):
@@ -153,3 +154,35 @@ def test_comments_and_lists(spark, tmp_path):
     got = tags.rolled_up(tagged.read_tags(spark, str(tmp_path)), "path", "seq", "tag", "value").collect()
     assert {(r["path"][-6:], r["tag"]): (r["all_values"], r["n"]) for r in got}[("a.flac", "artist")] == ("x|y", 3)
     assert len(got) == 6 and np.all([r["first_value"] for r in got])
+
+
+def test_an_empty_list_of_sync_samples_marks_all():
+    data, _ = movie()
+    at = data.find(b"stss")
+    if at < 0:
+        pytest.skip("the movie has no list")
+    cut = bytearray(data)
+    cut[at + 8 : at + 12] = bytes(4)
+    assert mp4.packets(bytes(cut))["sync"].all()
+
+
+def test_wire_formats():
+    from framewright.functions import wire
+
+    for form in wire.WIRE:
+        values = np.array([0, 1, 200 if form == "u8" else -1, 127 if form == "u8" else -32768])
+        data = wire.packed(values, form)
+        assert len(data) == 4 * wire.WIRE[form][1] and wire.unpacked(data + b"\x01"[: wire.WIRE[form][1] - 1], form).tolist() == values.tolist()
+    assert wire.packed(np.array([-2]), "s24be") == b"\xff\xff\xfe" and wire.unpacked(b"\x01\x00\x80", "s24le").tolist() == [-8388607]
+
+
+def test_ogg_checksum_a_bit_at_a_time():
+    from framewright.sources import ogg
+
+    for n in (0, 1, 5, 300):
+        page, crc = np.random.default_rng(n).integers(0, 256, n, np.uint8).tobytes(), 0
+        for b in page:
+            crc ^= b << 24
+            for _ in range(8):
+                crc = (crc << 1 ^ (0x04C11DB7 if crc >> 31 else 0)) & 0xFFFFFFFF
+        assert ogg.checksum(page) == crc
