@@ -11,6 +11,7 @@ keeps one line of each component.
 from __future__ import annotations
 
 import functools
+import json
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
@@ -32,6 +33,8 @@ BLOCK = 8
 NEIGHBOURS = 2
 #: Lines of a band that are put in order together; more lines are dealt into groups of about so many.
 ORDERED = 1024
+#: Groups in which shingles are counted.
+GROUPS = 1 << 14
 #: Shingles that a task compares, about.
 TASK_SHINGLES = 1 << 20
 #: Lines of a band beyond which its pairs are found by a prefix filter.
@@ -115,8 +118,10 @@ def candidates(found: DataFrame) -> DataFrame:
 
 
 def near_pairs(ranked: DataFrame, found: DataFrame) -> DataFrame:
-    """Distinct candidates (a, b) among the pairs of each line with its band's first and with those before it by length."""
-    pairs = near_in_bands(ranked, "line_id", ["n"], NEIGHBOURS, ORDERED)
+    """Distinct candidates (a, b) among the pairs of each line with its band's first and with those before it by their minima."""
+    # In order of the minima, lines that share more of them than the band stand side by side.
+    minima = found.select("line_id", *_PACKED)
+    pairs = near_in_bands(ranked.join(minima, "line_id"), "line_id", _PACKED, NEIGHBOURS, ORDERED)
     at = lambda c: found.select(F.col("line_id").alias(c), *(F.col(p).alias(f"{p}_{c}") for p in _PACKED))
     return pairs.join(at("a"), "a").join(at("b"), "b").where(_agreeing("_a", "_b")).select("a", "b")
 
@@ -158,12 +163,17 @@ def unlinked_pairs(docs: DataFrame, found: DataFrame, ranked: DataFrame, joined:
     rooted = materialize(unlinked_in_bands(ranked, "line_id", joined).join(found.select("line_id", *_PACKED), "line_id"), "line-mixed")
     few, many = rooted.where(F.col("size") <= crowded), rooted.where(F.col("size") > crowded)
     sets = materialize(shingle_rows(texts_of(docs, found, many.select("line_id").distinct())).distinct(), "line-shingles")
-    counted = sets.join(sets.groupBy("s").agg(F.count(F.lit(1)).alias("count")), "s")
+    # Counted by groups of shingles, of a fixed number; any one order serves, the rarest first parts the most pairs.
+    group = F.pmod("s", F.lit(GROUPS))
+    sizes = {r["group"]: r["count"] for r in sets.groupBy(group.alias("group")).count().collect()}
+    rarity = F.get(F.from_json(F.lit(json.dumps([sizes.get(i, 0) for i in range(GROUPS)])), "array<bigint>"), group.cast("int"))
     own = Window.partitionBy("line_id")
-    ordered = counted.select("line_id", "s", F.row_number().over(own.orderBy("count", "s")).alias("k"), F.count(F.lit(1)).over(own).alias("n"))
+    ordered = sets.withColumn("rarity", rarity).select("line_id", "s", F.row_number().over(own.orderBy("rarity", "s")).alias("k"), F.count(F.lit(1)).over(own).alias("n"))
     prefix = ordered.where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1).select("line_id", "s")
+    prefixed = materialize(many.join(prefix, "line_id"), "line-prefixes")
+    forget(sets)
     across = lambda members, *keys: pairs_across(members, list(keys), "line_id", _PACKED, _agreeing("_x", "_y"))
-    return across(few, "band").unionByName(across(many.join(prefix, "line_id"), "band", "s")).distinct()
+    return across(few, "band").unionByName(across(prefixed, "band", "s")).distinct()
 
 
 def texts_of(docs: DataFrame, found: DataFrame, ids: DataFrame) -> DataFrame:
