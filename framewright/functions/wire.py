@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: NumPy's type and the bytes of a sample of each wire format; samples of three bytes are taken apart by hand.
-WIRE = {"u8": ("u1", 1), "s16le": ("<i2", 2), "s16be": (">i2", 2), "s24le": ("<s24", 3), "s24be": (">s24", 3), "s32le": ("<i4", 4), "s32be": (">i4", 4), "f32le": ("<f4", 4), "f32be": (">f4", 4)}
+WIRE = {"u8": ("u1", 1), "s8": ("i1", 1), "s16le": ("<i2", 2), "s16be": (">i2", 2), "s24le": ("<s24", 3), "s24be": (">s24", 3), "s32le": ("<i4", 4), "s32be": (">i4", 4), "f32le": ("<f4", 4), "f32be": (">f4", 4), "f64be": (">f8", 8)}
 
 
 def unpacked(data: bytes, wire: str) -> np.ndarray:

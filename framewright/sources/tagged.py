@@ -1,4 +1,4 @@
-"""Descriptive tags inside files: ID3v2, Vorbis comments (bare, in Ogg, in FLAC) and RIFF INFO lists, as rows."""
+"""Descriptive tags inside files: ID3v2, Vorbis comments (bare, in Ogg, in FLAC), RIFF INFO lists, AIFF text, ID3v1 and APEv2 at the end, as rows."""
 
 from __future__ import annotations
 
@@ -14,6 +14,9 @@ ROWS = "path string, seq long, tag string, value string"
 # Text frames of ID3v2.2, v2.3 and v2.4, and RIFF INFO chunks, by the tag that they carry.
 ID3 = {"TT2": "title", "TP1": "artist", "TAL": "album", "TYE": "date", "TRK": "track", "TCO": "genre", "TIT2": "title", "TPE1": "artist", "TALB": "album", "TYER": "date", "TDRC": "date", "TRCK": "track", "TCON": "genre", "TCOM": "composer"}
 INFO = {"INAM": "title", "IART": "artist", "IPRD": "album", "ICRD": "date", "ITRK": "track", "IGNR": "genre", "ICMT": "comment"}
+# Text chunks of AIFF, and the places of the fields of ID3v1.
+AIFF = {"NAME": "title", "AUTH": "artist", "(c) ": "copyright", "ANNO": "comment"}
+ID3V1 = [("title", 3, 33), ("artist", 33, 63), ("album", 63, 93), ("date", 93, 97), ("comment", 97, 127)]
 _TEXT = ("latin-1", "utf-16", "utf-16-be", "utf-8")
 
 
@@ -114,9 +117,60 @@ def ogg_comments(data: bytes) -> Iterator[tuple[str, str]]:
                 return
 
 
+def aiff(data: bytes) -> Iterator[tuple[str, str]]:
+    """Text chunks of an AIFF file."""
+    at = 12
+    while data[8:12] in (b"AIFF", b"AIFC") and at + 8 <= len(data):
+        name, size = data[at : at + 4].decode("latin-1"), struct.unpack_from(">I", data, at + 4)[0]
+        value = data[at + 8 : at + 8 + size].decode("utf-8", "replace").strip("\0 ")
+        if name in AIFF and value:
+            yield AIFF[name], value
+        at += 8 + size + (size & 1)
+
+
+def id3v1(data: bytes) -> Iterator[tuple[str, str]]:
+    """Fields of the last 128 bytes, and the track where the comment leaves room for it."""
+    tag = data[-128:]
+    if len(tag) < 128 or tag[:3] != b"TAG":
+        return
+    numbered = not tag[125] and tag[126]
+    for name, first, last in ID3V1:
+        value = tag[first : 125 if name == "comment" and numbered else last].decode("latin-1").split("\0")[0].strip()
+        if value:
+            yield name, value
+    if numbered:
+        yield "track", str(tag[126])
+
+
+def apev2(data: bytes) -> Iterator[tuple[str, str]]:
+    """Text items of a tag that ends the file, or stands ahead of an ID3v1 tag; from an item that is cut off on, none."""
+    end = len(data) - (128 if data[-128:-125] == b"TAG" else 0)
+    if end < 32 or data[end - 32 : end - 24] != b"APETAGEX":
+        return
+    version, size, count = struct.unpack_from("<3I", data, end - 24)
+    if version not in (1000, 2000) or not 32 <= size <= end:
+        return
+    items, at = data[end - size : end - 32], 0
+    for _ in range(count):
+        stop = items.find(b"\0", at + 8)
+        if stop < 0:
+            return
+        length, flags = struct.unpack_from("<2I", items, at)
+        name, value = items[at + 8 : stop].decode("utf-8", "replace").lower(), items[stop + 1 : stop + 1 + length]
+        if len(value) < length:
+            return
+        if not flags >> 1 & 3:
+            yield from ((name, x.decode("utf-8", "replace")) for x in value.split(b"\0") if x)
+        at = stop + 1 + length
+
+
 def tags_of(data: bytes) -> Iterator[tuple[str, str]]:
-    by_magic = {b"ID3": id3, b"fLaC": flac, b"RIFF": info, b"OggS": ogg_comments}
-    return next((f(data) for magic, f in by_magic.items() if data.startswith(magic)), iter(()))
+    """Tags of the file's own kind, APEv2's, then those of ID3v1 that no other tag gives."""
+    by_magic = {b"ID3": id3, b"fLaC": flac, b"RIFF": info, b"OggS": ogg_comments, b"FORM": aiff}
+    own = next((list(f(data)) for magic, f in by_magic.items() if data.startswith(magic)), []) + list(apev2(data))
+    yield from own
+    named = {name for name, _ in own}
+    yield from ((name, value) for name, value in id3v1(data) if name not in named)
 
 
 def read_tags(spark: SparkSession, path: str) -> DataFrame:

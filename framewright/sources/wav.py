@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 PCM, FLOAT, EXTENSIBLE = 1, 3, 0xFFFE
+#: A size that stands in 64 bits elsewhere.
+UNKNOWN = 0xFFFFFFFF
 HEADER = "path string, encoding string, channels int, rate int, bits int, data_offset long, data_bytes long, frames long, error string"
 SAMPLES = "path string, channel int, frame long, x double"
 
@@ -23,14 +25,16 @@ class WavError(ValueError):
 
 
 def parse_header(data: bytes) -> dict:
-    """Geometry of a file; chunks of other kinds are passed over, sizes that exceed the file are cut to it."""
-    if len(data) < 12 or data[:4] != b"RIFF" or data[8:12] != b"WAVE":
+    """Geometry of a file, RF64 among them; chunks of other kinds are passed over, sizes that exceed the file are cut to it."""
+    if len(data) < 12 or data[:4] not in (b"RIFF", b"RF64") or data[8:12] != b"WAVE":
         raise WavError("no RIFF/WAVE header")
-    at, fmt = 12, None
+    at, fmt, long_size = 12, None, None
     while at + 8 <= len(data):
         kind, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
         body = at + 8
-        if kind == b"fmt ":
+        if kind == b"ds64" and data[:4] == b"RF64" and size >= 24 and body + 24 <= len(data):
+            long_size = struct.unpack_from("<Q", data, body + 8)[0]
+        elif kind == b"fmt ":
             if size < 16 or body + 16 > len(data):
                 raise WavError("short fmt chunk")
             tag, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", data, body)
@@ -44,6 +48,10 @@ def parse_header(data: bytes) -> dict:
         elif kind == b"data":
             if fmt is None:
                 raise WavError("data before fmt")
+            if size == UNKNOWN and data[:4] == b"RF64":
+                if long_size is None:
+                    raise WavError("no ds64 chunk before data")
+                size = long_size
             size = min(size, len(data) - body)
             return fmt | {"data_offset": body, "data_bytes": size, "frames": size // (fmt["channels"] * fmt["bits"] // 8)}
         at = body + size + (size & 1)
@@ -67,14 +75,24 @@ def samples_of(data: bytes, head: dict) -> np.ndarray:
     return x.reshape(-1, head["channels"])
 
 
+def header_bytes(encoding: str, channels: int, rate: int, bits: int, frames: int) -> bytes:
+    """What stands ahead of the samples of a file: RF64 where its sizes go beyond 32 bits, RIFF otherwise."""
+    width = bits // 8
+    size = frames * channels * width
+    fmt = b"fmt " + struct.pack("<IHHIIHH", 16, FLOAT if encoding == "float" else PCM, channels, rate, rate * channels * width, channels * width, bits)
+    whole = 4 + len(fmt) + 8 + size + (size & 1)
+    if whole < UNKNOWN:
+        return b"RIFF" + struct.pack("<I", whole) + b"WAVE" + fmt + b"data" + struct.pack("<I", size)
+    long = b"ds64" + struct.pack("<IQQQI", 28, whole + 36, size, frames, 0)
+    return b"RF64" + struct.pack("<I", UNKNOWN) + b"WAVE" + long + fmt + b"data" + struct.pack("<I", UNKNOWN)
+
+
 def wav_bytes(samples: np.ndarray, rate: int, bits: int = 16) -> bytes:
     """A file of integer samples (frames, channels) of 8, 16, 24 or 32 bits."""
     frames, channels = samples.shape
     width, flat = bits // 8, samples.astype(np.int64).ravel()
     body = (flat + 128).astype(np.uint8).tobytes() if bits == 8 else flat.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
-    fmt = struct.pack("<HHIIHH", PCM, channels, rate, rate * channels * width, channels * width, bits)
-    pad = b"\0" * (len(body) & 1)
-    return b"RIFF" + struct.pack("<I", 36 + len(body) + len(pad)) + b"WAVEfmt " + struct.pack("<I", 16) + fmt + b"data" + struct.pack("<I", len(body)) + body + pad
+    return header_bytes("int", channels, rate, bits, frames) + body + b"\0" * (len(body) & 1)
 
 
 def files(spark: SparkSession, path: str, pattern: str = "*.wav") -> DataFrame:
