@@ -14,8 +14,10 @@ from framewright.functions.wire import WIRE, unpacked
 SAMPLES = "path string, channel int, frame long, x double"
 #: Samples of a batch.
 BATCH = 1 << 18
+#: Encodings of files alone, as NumPy's types.
+FILES = {"s8": "i1", "f64be": ">f8"}
 #: Bytes of a sample by the name of its encoding.
-SIZES = {name: size for name, (_, size) in WIRE.items()} | {"ulaw": 1, "alaw": 1}
+SIZES = {name: size for name, (_, size) in WIRE.items()} | {"s8": 1, "f64be": 8, "ulaw": 1, "alaw": 1}
 
 
 def ulaw_table() -> np.ndarray:
@@ -38,7 +40,8 @@ def decoded(data: bytes, encoding: str) -> np.ndarray:
     if encoding in ("ulaw", "alaw"):
         table = ulaw_table() if encoding == "ulaw" else alaw_table()
         return table[np.frombuffer(data, np.uint8)] / 32768.0
-    x = unpacked(data, encoding).astype(np.float64)
+    whole = data[: len(data) // SIZES[encoding] * SIZES[encoding]]
+    x = (np.frombuffer(whole, FILES[encoding]) if encoding in FILES else unpacked(whole, encoding)).astype(np.float64)
     if encoding[0] == "f":
         return x
     return (x - 128) / 128 if encoding == "u8" else x / float(1 << (8 * SIZES[encoding] - 1))

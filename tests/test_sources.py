@@ -9,6 +9,10 @@ from framewright.functions import pcm, wire
 from framewright.sources import aiff, caf, raw, tagged, wav
 
 
+def block(values, encoding):
+    return values.astype(raw.FILES[encoding]).tobytes() if encoding in raw.FILES else wire.packed(values, encoding)
+
+
 def test_g711_tables(spark):
     codes = spark.range(256).selectExpr("cast(id as int) code")
     got = codes.select("code", pcm.ulaw_decoded(codes.code).alias("u"), pcm.alaw_decoded(codes.code).alias("a")).orderBy("code").toPandas()
@@ -20,7 +24,7 @@ def test_headerless_samples(spark, tmp_path, encoding):
     size = raw.SIZES[encoding]
     x = np.array([0, 64, -64, 127, -128, 1])
     top = x / 128 if encoding[0] == "f" else x + 128 if encoding == "u8" else x * (1 << 8 * size - 8)
-    (tmp_path / "a.raw").write_bytes(wire.packed(top, encoding) + b"\1" * (2 * size - 1))
+    (tmp_path / "a.raw").write_bytes(block(top, encoding) + b"\1" * (2 * size - 1))
     (tmp_path / "empty.raw").write_bytes(b"")
     rows = raw.read_samples(spark, str(tmp_path), encoding, 2).orderBy("frame", "channel").collect()
     assert [r["x"] for r in rows][:6] == (x / 128).tolist() and [(r["frame"], r["channel"]) for r in rows] == [(f, c) for f in range(3) for c in (0, 1)]
@@ -48,7 +52,7 @@ def form(compression, channels, frames, bits, body):
 def test_aiff_samples(compression, encoding, bits):
     x = np.array([0, 64, -64, 127])
     top = x / 128 if encoding[0] == "f" else x + 128 if encoding == "u8" else x * (1 << 8 * raw.SIZES[encoding] - 8)
-    data = form(compression.encode(), 2, 2, bits, wire.packed(top, encoding))
+    data = form(compression.encode(), 2, 2, bits, block(top, encoding))
     head = aiff.parse(data)
     assert head["rate"] == 8000 and aiff.samples_of(data, head).tolist() == (x / 128).tolist()
 
