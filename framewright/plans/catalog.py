@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from framewright.functions import pcm, sealing, text
 from framewright.operators import channels, framed, integrity, quality, resample, tags, timeline
 from framewright.plans import adapt
-from framewright.plans import header_catalog, table_catalog, wire_catalog  # noqa: F401  (their queries join the registry)
+from framewright.plans import header_catalog, source_catalog, table_catalog, wire_catalog  # noqa: F401  (their queries join the registry)
 from framewright.plans.adapt import EDITS, INDEX, INTS, ORDER, PAIRS, PLANES, SAMPLES, table
 from framewright.plans.registry import oracle_sql, queries, query  # noqa: F401
 

@@ -105,8 +105,8 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
     return _files(spark, path).mapInPandas(run, HEADER)
 
 
-def read_samples(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each sample of the files that can be read."""
+def samples_in(files: DataFrame) -> DataFrame:
+    """A row for each sample of the files(path, content) that can be read."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -117,4 +117,9 @@ def read_samples(spark: SparkSession, path: str) -> DataFrame:
                     continue
                 yield from raw.sample_rows(p, x, head["channels"])
 
-    return _files(spark, path).mapInPandas(run, raw.SAMPLES)
+    return files.mapInPandas(run, raw.SAMPLES)
+
+
+def read_samples(spark: SparkSession, path: str) -> DataFrame:
+    """A row for each sample of the files that can be read."""
+    return samples_in(_files(spark, path))

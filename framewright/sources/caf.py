@@ -143,8 +143,8 @@ def read_tracks(spark: SparkSession, path: str) -> DataFrame:
     return _files(spark, path).mapInPandas(run, TRACKS)
 
 
-def read_packets(spark: SparkSession, path: str) -> DataFrame:
-    """Packets of the files that can be read."""
+def packets_in(files: DataFrame) -> DataFrame:
+    """Packets of the files(path, content) that can be read."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -156,4 +156,9 @@ def read_packets(spark: SparkSession, path: str) -> DataFrame:
                 got.insert(0, "path", p)
                 yield got
 
-    return _files(spark, path).mapInPandas(run, PACKETS)
+    return files.mapInPandas(run, PACKETS)
+
+
+def read_packets(spark: SparkSession, path: str) -> DataFrame:
+    """Packets of the files that can be read."""
+    return packets_in(_files(spark, path))

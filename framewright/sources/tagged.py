@@ -173,12 +173,17 @@ def tags_of(data: bytes) -> Iterator[tuple[str, str]]:
     yield from ((name, value) for name, value in id3v1(data) if name not in named)
 
 
-def read_tags(spark: SparkSession, path: str) -> DataFrame:
-    """(path, seq, tag, value) in the order of each file; files without tags give no rows."""
+def tags_in(files: DataFrame) -> DataFrame:
+    """(path, seq, tag, value) in the order of each of the files(path, content); files without tags give no rows."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for p, data in zip(f["path"], f["content"], strict=True):
-                yield pd.DataFrame([(p, i, *t) for i, t in enumerate(tags_of(bytes(data)))], columns=["path", "seq", "tag", "value"], dtype=object)
+            rows = [(p, i, *t) for p, data in zip(f["path"], f["content"], strict=True) for i, t in enumerate(tags_of(bytes(data)))]
+            yield pd.DataFrame(rows, columns=["path", "seq", "tag", "value"], dtype=object)
+
+    return files.mapInPandas(run, ROWS)
 
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInPandas(run, ROWS)
+
+def read_tags(spark: SparkSession, path: str) -> DataFrame:
+    """(path, seq, tag, value) in the order of each file; files without tags give no rows."""
+    return tags_in(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content"))

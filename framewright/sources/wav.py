@@ -99,8 +99,8 @@ def files(spark: SparkSession, path: str, pattern: str = "*.wav") -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
 
 
-def read_headers(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each file; one that cannot be read has its reason in `error`."""
+def headers_in(rows: DataFrame) -> DataFrame:
+    """A row for each of the files rows(path, content); one that cannot be read has its reason in `error`."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in HEADER.split(", ")]
@@ -118,7 +118,12 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
                 got[c] = got[c].astype("Int64")
             yield got
 
-    return files(spark, path).select("path", "content").mapInPandas(run, HEADER)
+    return rows.mapInPandas(run, HEADER)
+
+
+def read_headers(spark: SparkSession, path: str) -> DataFrame:
+    """A row for each file; one that cannot be read has its reason in `error`."""
+    return headers_in(files(spark, path).select("path", "content"))
 
 
 def read_samples(spark: SparkSession, path: str) -> DataFrame:
