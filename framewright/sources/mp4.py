@@ -9,6 +9,9 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from framewright.operators.timeline import edit_mapped, edit_starts
 
 #: Boxes that hold boxes.
 HOLDERS = frozenset(b"moov trak mdia minf stbl edts mvex moof traf".split())
@@ -16,6 +19,7 @@ KINDS = {b"soun": "audio", b"vide": "video", b"subt": "subtitle", b"text": "subt
 DEEPEST, MOST_SAMPLES = 12, 1 << 26
 TRACKS = "path string, track_id long, kind string, codec string, timescale long, duration long, rate double, channels int, layout string, error string"
 PACKETS = "path string, track_id long, sample_id long, offset long, size long, decode_time long, presentation_time long, duration long, sync boolean"
+EDITS = "path string, track_id long, entry_no long, duration long, media_time long, error string"
 
 
 class Mp4Error(ValueError):
@@ -217,6 +221,35 @@ def packets(data: bytes) -> pd.DataFrame:
     return out[names]
 
 
+def edits(data: bytes) -> pd.DataFrame:
+    """Entries of the edit lists, their durations in the time of the track, rounded; media_time is -1 where nothing is shown."""
+    found, parts = list(boxes(data)), []
+    head = next((b.body for b in found if b.kind == b"mvhd"), None)
+    movie = struct.unpack_from(">I", data, head + (20 if data[head] else 12))[0] if head is not None else 0
+    for own in _traks(data, found):
+        if b"elst" not in own:
+            continue
+        at, track = own[b"elst"].body, _track(data, own)
+        version, n = data[at], struct.unpack_from(">I", data, at + 4)[0]
+        if version > 1:
+            raise Mp4Error(f"edit list of version {version}")
+        entry = np.dtype([("duration", ">u8" if version else ">u4"), ("media_time", ">i8" if version else ">i4"), ("rate", ">i4")])
+        if at + 8 + n * entry.itemsize > own[b"elst"].end:
+            raise Mp4Error("edit list is cut off")
+        rows = np.frombuffer(data, entry, n, at + 8)
+        if not n:
+            continue
+        if not movie:
+            raise Mp4Error("edit list without a time scale of the movie")
+        if (rows["rate"] != 1 << 16).any():
+            raise Mp4Error("edits at another rate")
+        if (rows["media_time"] < -1).any() or (rows["media_time"] == -1).all():
+            raise Mp4Error("edits without a place in the track")
+        durations = [(d * track["timescale"] + movie // 2) // movie for d in rows["duration"].tolist()]
+        parts.append(pd.DataFrame({"track_id": track["track_id"], "entry_no": np.arange(1, n + 1), "duration": durations, "media_time": rows["media_time"].astype(np.int64)}))
+    return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({c: np.zeros(0, np.int64) for c in ("track_id", "entry_no", "duration", "media_time")})
+
+
 def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.{mp4,m4a,m4v,mov,m4s}").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
@@ -254,3 +287,32 @@ def read_packets(spark: SparkSession, path: str) -> DataFrame:
                     yield part.assign(path=pd.Series([p] * len(part), part.index, dtype=object), error=pd.Series([None] * len(part), part.index, dtype=object))[names]
 
     return _files(spark, path).mapInPandas(run, f"{PACKETS}, error string")
+
+
+def edits_in(files: DataFrame) -> DataFrame:
+    """A row for each entry of an edit list of the files(path, content); a file that cannot be read is one row that has an error."""
+    names = [c.split()[0] for c in EDITS.split(", ")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for p, data in zip(f["path"], f["content"], strict=True):
+                try:
+                    got = edits(bytes(data)).to_dict("records")
+                except (Mp4Error, struct.error) as e:
+                    got = [{"error": str(e)}]
+                yield pd.DataFrame([{"path": p} | r for r in got], columns=names, dtype=object)
+
+    return files.mapInPandas(run, EDITS)
+
+
+def read_edits(spark: SparkSession, path: str) -> DataFrame:
+    """A row for each entry of an edit list; a file that cannot be read is one row that has an error."""
+    return edits_in(_files(spark, path))
+
+
+def read_presented(spark: SparkSession, path: str) -> DataFrame:
+    """read_packets with presentation: the time at which the edits of the track show a sample, its own time where there are none."""
+    key = F.struct("path", "track_id")
+    listed = edit_starts(read_edits(spark, path).where("error is null").withColumn("__track", key), "__track", "entry_no")
+    packets_ = read_packets(spark, path).withColumn("__track", key)
+    return edit_mapped(packets_, listed, "__track", "presentation_time").drop("__track")

@@ -1,4 +1,4 @@
-"""Descriptive tags inside files: ID3v2, Vorbis comments (bare, in Ogg, in FLAC), RIFF INFO lists, AIFF text, ID3v1 and APEv2 at the end, as rows."""
+"""Descriptive tags inside files: ID3v2, Vorbis comments (bare, in Ogg, in FLAC), RIFF INFO lists, MP4 item lists, AIFF text, ID3v1 and APEv2 at the end, as rows."""
 
 from __future__ import annotations
 
@@ -8,7 +8,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from framewright.sources import ogg
+from framewright.functions.text import MP4_TAGS
+from framewright.sources import mp4, ogg
 
 ROWS = "path string, seq long, tag string, value string"
 # Text frames of ID3v2.2, v2.3 and v2.4, and RIFF INFO chunks, by the tag that they carry.
@@ -117,6 +118,21 @@ def ogg_comments(data: bytes) -> Iterator[tuple[str, str]]:
                 return
 
 
+def items(data: bytes) -> Iterator[tuple[str, str]]:
+    """Text and numbers of the item list of an MP4 file; a genre by number and pictures are left out."""
+    inner = lambda box, kind, skip=0: [b for b in mp4.boxes(data, box.body + skip, box.end) if b.kind == kind and not b.path]
+    try:
+        lists = [x for u in mp4.boxes(data) if u.kind == b"udta" and u.path == (b"moov",) for m in inner(u, b"meta") for x in inner(m, b"ilst", 4)]
+        found = [(MP4_TAGS.get(i.kind.hex().upper()), i.kind, data[d.body + 8 : d.end]) for x in lists for i in mp4.boxes(data, x.body, x.end) for d in inner(i, b"data")]
+    except mp4.Mp4Error:
+        return
+    for name, kind, value in found:
+        if kind in (b"trkn", b"disk") and len(value) >= 6:
+            yield name.lower(), "{}/{}".format(*struct.unpack_from(">HH", value, 2))
+        elif name and kind != b"gnre" and (text := value.decode("utf-8", "replace").strip("\0").strip()):
+            yield name.lower(), text
+
+
 def aiff(data: bytes) -> Iterator[tuple[str, str]]:
     """Text chunks of an AIFF file."""
     at = 12
@@ -150,13 +166,13 @@ def apev2(data: bytes) -> Iterator[tuple[str, str]]:
     version, size, count = struct.unpack_from("<3I", data, end - 24)
     if version not in (1000, 2000) or not 32 <= size <= end:
         return
-    items, at = data[end - size : end - 32], 0
+    body, at = data[end - size : end - 32], 0
     for _ in range(count):
-        stop = items.find(b"\0", at + 8)
+        stop = body.find(b"\0", at + 8)
         if stop < 0:
             return
-        length, flags = struct.unpack_from("<2I", items, at)
-        name, value = items[at + 8 : stop].decode("utf-8", "replace").lower(), items[stop + 1 : stop + 1 + length]
+        length, flags = struct.unpack_from("<2I", body, at)
+        name, value = body[at + 8 : stop].decode("utf-8", "replace").lower(), body[stop + 1 : stop + 1 + length]
         if len(value) < length:
             return
         if not flags >> 1 & 3:
@@ -167,7 +183,8 @@ def apev2(data: bytes) -> Iterator[tuple[str, str]]:
 def tags_of(data: bytes) -> Iterator[tuple[str, str]]:
     """Tags of the file's own kind, APEv2's, then those of ID3v1 that no other tag gives."""
     by_magic = {b"ID3": id3, b"fLaC": flac, b"RIFF": info, b"OggS": ogg_comments, b"FORM": aiff}
-    own = next((list(f(data)) for magic, f in by_magic.items() if data.startswith(magic)), []) + list(apev2(data))
+    reader = items if data[4:8] == b"ftyp" else next((f for magic, f in by_magic.items() if data.startswith(magic)), None)
+    own = (list(reader(data)) if reader else []) + list(apev2(data))
     yield from own
     named = {name for name, _ in own}
     yield from ((name, value) for name, value in id3v1(data) if name not in named)

@@ -186,3 +186,44 @@ def test_ogg_checksum_a_bit_at_a_time():
             for _ in range(8):
                 crc = (crc << 1 ^ (0x04C11DB7 if crc >> 31 else 0)) & 0xFFFFFFFF
         assert ogg.checksum(page) == crc
+
+
+def edited(entries, version=0, movie=1000):
+    """A movie of five samples whose track has an edit list."""
+    tables = [full(b"stts", 1, 5, 1000), full(b"stsc", 1, 1, 5, 1), full(b"stsz", 4, 5), full(b"stco", 1, 0)]
+    body = b"".join(struct.pack(">QqI" if version else ">IiI", d, t, rate) for d, t, rate in entries)
+    track = trak(tables)
+    elst = box(b"edts", box(b"elst", struct.pack(">II", version << 24, len(entries)), body))
+    names = box(b"\xa9nam", box(b"data", struct.pack(">II", 1, 0), b"Song")) + box(b"trkn", box(b"data", struct.pack(">II4H", 0, 0, 0, 3, 9, 0))) + box(b"gnre", box(b"data", struct.pack(">IIH", 0, 0, 5)))
+    meta = box(b"udta", box(b"meta", bytes(4), full(b"hdlr", 0, 0, 0), box(b"ilst", names)))
+    return box(b"ftyp", b"M4A ") + box(b"moov", full(b"mvhd", 0, 0, movie, 5000), box(b"trak", track[8:], elst), meta)
+
+
+@pytest.mark.parametrize("version", [0, 1])
+def test_mp4_edit_lists(spark, tmp_path, version):
+    one = 1 << 16
+    data = edited([(20, -1, one), (50, 1000, one), (45, 4000, one)], version)
+    got = mp4.edits(data)
+    # 20, 50 and 45 thousandths of a second, at 44,100 a second.
+    assert got.values.tolist() == [[7, 1, 882, -1], [7, 2, 2205, 1000], [7, 3, 1985, 4000]]
+    (tmp_path / "a.mp4").write_bytes(data)
+    (tmp_path / "b.mp4").write_bytes(edited([]))
+    (tmp_path / "c.mp4").write_bytes(edited([(20, 0, 2 * one)]))
+    shown = [(r["path"][-5:], r["presentation_time"], r["presentation"]) for r in mp4.read_presented(spark, str(tmp_path)).orderBy("path", "sample_id").collect()]
+    assert shown[:5] == [("a.mp4", t, p) for t, p in [(0, -118), (1000, 882), (2000, 1882), (3000, 2882), (4000, 3087)]]
+    assert shown[5:] == [(f, t, t) for f in ("b.mp4", "c.mp4") for t in range(0, 5000, 1000)]
+    errors = {r["path"][-5:]: r["error"] for r in mp4.read_edits(spark, str(tmp_path)).collect()}
+    assert errors == {"a.mp4": None, "c.mp4": "edits at another rate"}
+
+
+@pytest.mark.parametrize("entries", [[(5, -1, 1 << 16)], [(5, -2, 1 << 16)]])
+def test_mp4_edits_without_a_place(entries):
+    with pytest.raises(mp4.Mp4Error):
+        mp4.edits(edited(entries))
+    with pytest.raises(mp4.Mp4Error):
+        mp4.edits(edited([(5, 0, 1 << 16)], movie=0))
+
+
+def test_mp4_item_lists():
+    assert list(tagged.tags_of(edited([]))) == [("title", "Song"), ("track", "3/9")]
+    assert list(tagged.tags_of(edited([])[:-3])) == []
