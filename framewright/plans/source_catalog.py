@@ -7,9 +7,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.functions.octets import octets
-from framewright.plans.adapt import INDEX, ORDER, raw_samples, table
+from framewright.operators.timeline import edit_starts
+from framewright.plans.adapt import EDITS, INDEX, ORDER, edits, raw_samples, table
 from framewright.plans.registry import query
-from framewright.sources import aiff, caf, tagged, wav
+from framewright.sources import aiff, caf, mp4, tagged, wav
 
 #: Frames of a packet of the files of packets.
 FRAMES = 1024
@@ -88,3 +89,37 @@ def wav_header_round_trip(spark, sf):
     k = F.col("event_id")
     s = table(spark, sf, "events").select(k.cast("string").alias("path"), made(k % 2 + 1, 8 * (k % 4 + 1), F.when(k % 3 == 0, k * 4000000).otherwise(k)).alias("content"))
     return wav.headers_in(s).select(F.col("path").cast("long").alias("event_id"), "channels", "bits", "rate", "data_offset", "frames")
+
+
+def _box(kind: str, size, *parts):
+    """A box whose parts are of `size` octets."""
+    return F.concat(octets(size + 8, 4), _text(kind), *parts)
+
+
+def _numbers(*values):
+    return F.concat(*(octets(F.lit(v) if isinstance(v, int) else v, 4) for v in values))
+
+
+def _media() -> bytes:
+    """An audio track's media of 44,100 a second, without samples."""
+    made = lambda kind, *parts: (8 + sum(map(len, parts))).to_bytes(4, "big") + kind + b"".join(parts)
+    time = b"".join(v.to_bytes(4, "big") for v in (0, 0, 0, 44100, 0, 0))
+    return made(b"mdia", made(b"mdhd", time), made(b"hdlr", bytes(8), b"soun", bytes(12)), made(b"minf", made(b"stbl", made(b"stsd", bytes(8)))))
+
+
+@query(f"""WITH {EDITS}, scaled AS (SELECT track_id, entry_no, (duration * 44100 + 300) // 600 AS duration, media_time FROM edits0),
+starts AS (SELECT *, coalesce(sum(duration) OVER (PARTITION BY track_id ORDER BY entry_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM scaled)
+SELECT track_id, entry_no, CAST(duration AS BIGINT) AS duration, media_time, CAST(start AS BIGINT) AS presentation_start FROM starts WHERE media_time <> -1""")
+def mp4_edit_lists(spark, sf):
+    """Edit lists of files with a track for each customer, as the times of their parts in the track and when they are shown."""
+    # A negative number is written by its two's complement.
+    entry = _numbers(F.col("duration"), F.pmod(F.col("media_time").cast("long"), F.lit(1 << 32)), 1 << 16)
+    listed = edits(spark, sf).groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("entry_no", F.hex(entry).alias("bytes")))).alias("listed"))
+    n, media = F.size("listed"), _media()
+    own = 12 * n + 8
+    edts = _box("edts", own + 8, _box("elst", own, _numbers(0), octets(n, 4), F.unhex(F.array_join("listed.bytes", ""))))
+    size = own + 16 + len(media) + 32
+    track = _box("trak", size, _box("tkhd", F.lit(24), _numbers(0, 0, 0, F.col("track_id"), 0, 0)), F.unhex(F.lit(media.hex())), edts)
+    content = F.concat(_box("ftyp", F.lit(4), _text("isom")), _box("moov", size + 8 + 28, _box("mvhd", F.lit(20), _numbers(0, 0, 0, 600, 0)), track))
+    got = mp4.edits_in(listed.select(F.col("track_id").cast("string").alias("path"), content.alias("content"))).where("error is null")
+    return edit_starts(got, "track_id", "entry_no").select("track_id", "entry_no", "duration", "media_time", "presentation_start")
