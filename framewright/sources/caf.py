@@ -13,6 +13,8 @@ TRACKS = "path string, codec string, rate double, channels int, bits int, packet
 PACKETS = "path string, sample_id long, offset long, size long, decode_time long, duration long, trim_start long, trim_end long"
 #: Chunks that a file has at most once.
 _ONCE = (b"desc", b"pakt", b"kuki", b"chan", b"data")
+#: Packets that are returned together, about.
+BATCH = 1 << 16
 #: Bytes of a number in a packet table at most, and of a packet.
 _DIGITS, LARGEST = 10, 1 << 26
 
@@ -107,14 +109,25 @@ def parse(data: bytes) -> tuple[dict, np.ndarray]:
     return track | {"cookie": part(b"kuki") if b"kuki" in found else None, "data_offset": start + 4}, sizes
 
 
-def packets(data: bytes) -> pd.DataFrame:
-    """Packets of a file; trim_start and trim_end bound the frames of each that are heard."""
+def _packets(data: bytes) -> dict[str, np.ndarray]:
+    """Columns of packets."""
     track, sizes = parse(data)
     frames, n = track["packet_frames"], np.arange(len(sizes), dtype=np.int64)
     heard = np.array([track["priming"], track["priming"] + track["valid_frames"]])
     low, high = np.clip(heard[0] - n * frames, 0, frames), np.clip(heard[1] - n * frames, 0, frames)
     offsets = track["data_offset"] + np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else sizes
-    return pd.DataFrame({"sample_id": n + 1, "offset": offsets, "size": sizes, "decode_time": n * frames, "duration": frames, "trim_start": low, "trim_end": np.maximum(low, high)})
+    return {"sample_id": n + 1, "offset": offsets, "size": sizes, "decode_time": n * frames, "duration": np.full(len(n), frames), "trim_start": low, "trim_end": np.maximum(low, high)}
+
+
+def packets(data: bytes) -> pd.DataFrame:
+    """Packets of a file; trim_start and trim_end bound the frames of each that are heard."""
+    return pd.DataFrame(_packets(data))
+
+
+def _together(paths: list[str], found: list[dict[str, np.ndarray]]) -> pd.DataFrame:
+    """Packets of several files."""
+    path = np.repeat(np.array(paths, dtype=object), [len(f["size"]) for f in found])
+    return pd.DataFrame({"path": path} | {c: np.concatenate([f[c] for f in found]) for c in found[0]})
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -148,13 +161,19 @@ def packets_in(files: DataFrame) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
+            paths, found, rows = [], [], 0
             for p, data in zip(f["path"], f["content"], strict=True):
                 try:
-                    got = packets(bytes(data))
+                    found.append(_packets(bytes(data)))
                 except CafError:
                     continue
-                got.insert(0, "path", p)
-                yield got
+                paths.append(p)
+                rows += len(found[-1]["size"])
+                if rows >= BATCH:
+                    yield _together(paths, found)
+                    paths, found, rows = [], [], 0
+            if found:
+                yield _together(paths, found)
 
     return files.mapInPandas(run, PACKETS)
 
