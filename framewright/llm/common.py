@@ -165,17 +165,28 @@ def unlinked_in_bands(ranked: DataFrame, node: str, joined: DataFrame) -> DataFr
     return rooted.join(mixed, "band")
 
 
-def pairs_across(members: DataFrame, keys: list[str], node: str, carried: Sequence[str] = (), keep: Column | None = None) -> DataFrame:
+def pairs_across(members: DataFrame, keys: list[str], node: str, carried: Sequence[str] = (), keep: Column | None = None, details: DataFrame | None = None, together: int = 0) -> DataFrame:
     """Distinct pairs (a, b) of members(*keys, node, root, *carried) that agree on the keys and not on the root.
 
-    keep may name a carried column c as c_x and c_y. All members meet those of other roots than the commonest, so one
-    component, however large, makes no pairs of its own.
+    keep may name a carried column c, or one of details(node, ...), as c_x and c_y; it is judged within the join, which
+    puts out no other pairs. All members meet those of other roots than the commonest, so one component, however large,
+    makes no pairs of its own. With `together`, members(size) are dealt into parts of about so many.
     """
     counted = members.groupBy(*keys, "root").agg(F.count(F.lit(1)).alias("__n"))
     main = counted.groupBy(*keys).agg(F.max_by("root", F.struct("__n", "root")).alias("__main"), F.count(F.lit(1)).alias("__roots")).where("__roots > 1")
     own = members.join(main.select(*keys, "__main"), keys)
-    x, y = (rows.select(*keys, *(F.col(c).alias(f"{c}_{k}") for c in (node, "root", *carried))) for k, rows in (("x", own), ("y", own.where("root <> __main"))))
-    both = x.join(y, keys).where("root_x <> root_y")
+    others = own.where("root <> __main")
+    if together:
+        parts = F.ceil(F.col("size") / together).cast("int")
+        own = own.withColumn("__part", F.pmod(F.xxhash64(node), parts).cast("int"))
+        others = others.withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1)))
+        keys = [*keys, "__part"]
+    if details is not None:
+        own, others = own.join(details, node), others.join(details, node)
+        carried = [*carried, *(c for c in details.columns if c != node)]
+    x, y = (rows.select(*keys, *(F.col(c).alias(f"{c}_{k}") for c in (node, "root", "__main", *carried))) for k, rows in (("x", own), ("y", others)))
+    # Two of other roots than the commonest meet once.
+    both = x.join(y, keys).where("root_x <> root_y").where(f"root_x = __main_x or {node}_x < {node}_y")
     both = both if keep is None else both.where(keep)
     return both.select(F.least(f"{node}_x", f"{node}_y").alias("a"), F.greatest(f"{node}_x", f"{node}_y").alias("b")).distinct()
 

@@ -3,9 +3,10 @@
 Signatures are minima over all shingles of SHINGLE characters, the ones that the exact Jaccard similarity compares.
 Lines that share a band and half of their minima are candidates; of 30 minima, a pair of similarity 0.8 shares half
 but for one time in ten thousand. Each is verified against its band's first line and the neighbours before it; where
-a band still holds lines of several components, all its pairs across components are verified too, in crowded bands
-those that a prefix filter cannot rule out, which drops no pair that is alike enough. Distributed union-find then
-keeps one line of each component.
+a band still holds lines of several components, all its pairs across components are judged within the join that finds
+them, by sketches of 1,024 bits that bound the similarity from above; those that are left are verified. In crowded bands a
+prefix filter finds the pairs, which drops none that is alike enough either. Distributed union-find then keeps one
+line of each component.
 """
 
 from __future__ import annotations
@@ -27,18 +28,20 @@ ROWS, BANDS = 5, 12
 MINIMA = ROWS * BANDS // 2
 #: Minima that a pair of candidates shares at least.
 AGREEING = MINIMA // 2
-#: Shingles of a row of the aggregation.
-BLOCK = 8
+#: Shingles of a row of the aggregation of minima, and of one that makes whole sets.
+BLOCK, SET_BLOCK = 16, 32
 #: Neighbours, in the order of a band, that a line is compared with first, besides the band's first line.
 NEIGHBOURS = 2
 #: Lines of a band that are put in order together; more lines are dealt into groups of about so many.
 ORDERED = 1024
 #: Groups in which shingles are counted.
 GROUPS = 1 << 14
+#: Longs of a sketch.
+WORDS = 16
 #: Shingles that a task compares, about.
 TASK_SHINGLES = 1 << 20
-#: Lines of a band beyond which its pairs are found by a prefix filter.
-CROWDED = 64
+#: Lines of a band beyond which its pairs are found by a prefix filter; up to there, lines that a task compares with others.
+CROWDED, TOGETHER = 8192, 1024
 #: What the minima are taken of: hashes of 31 bits, exclusive or these. Their first bits all differ, so that each minimum is over shingles of its own.
 _MASKS = [i << 26 | (0x9E3779B1 * (2 * i + 1) >> 3) % (1 << 26) for i in range(MINIMA)]
 #: Eight bits of a minimum in a lane, and lanes of a long, of which the first eight bits stay free.
@@ -62,6 +65,17 @@ def shingle_rows(rows: DataFrame) -> DataFrame:
     return wide.select(*others, "__wide", at.alias("__at")).select(*others, F.xxhash64(F.substring("__wide", F.col("__at") * 4 + 1, F.lit(4 * SHINGLE))).alias("s"))
 
 
+def shingle_blocks(rows: DataFrame) -> DataFrame:
+    """rows(line, ...) with a row for each SET_BLOCK shingles in place of the line: hashes, those of shingle_rows, repeats included."""
+    others = [c for c in rows.columns if c != "line"]
+    wide = rows.select(*others, characters(F.col("line")).alias("__wide"), F.length("line").alias("__n"))
+    cut = wide.select(*others, "__wide", "__n", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("__n") - SHINGLE), F.lit(SET_BLOCK))).alias("__at"))
+    cut = cut.select(*others, (F.col("__n") - F.col("__at")).alias("__left"), F.substring("__wide", F.col("__at") * 4 + 1, F.lit(4 * (SET_BLOCK + SHINGLE - 1))).alias("__wide"))
+    hashes = F.array(*(F.xxhash64(F.substring("__wide", 4 * j + 1, 4 * SHINGLE)) for j in range(SET_BLOCK)))
+    there = F.least(F.lit(SET_BLOCK), F.greatest(F.lit(1), F.col("__left") - (SHINGLE - 1)))
+    return cut.select(*others, F.slice(hashes, F.lit(1), there).alias("hashes"))
+
+
 def lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, line) of every line that has more than white space, numbered from 0."""
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.col("text").cast("string"), "\n", -1)).alias("line_no", "line"))
@@ -135,18 +149,19 @@ def kept_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """
     found = materialize(signatures(docs).withColumn("line_id", F.monotonically_increasing_id()), "line-signatures")
     ranked = candidates(found)
+    texts = materialize(texts_of(docs, found, ranked.select("line_id").distinct()), "line-texts")
     pairs = materialize(near_pairs(ranked, found), "line-pairs")
-    links = verified(docs, found, pairs, similarity)
+    links = verified(texts, pairs, similarity)
     joined = connected_components(links)
     # Up to NEIGHBOURS + 2 lines of a band have all been compared by now.
-    rest = unlinked_pairs(docs, found, ranked.where(F.col("size") > NEIGHBOURS + 2), joined, similarity)
+    rest = unlinked_pairs(docs, found, ranked.where(F.col("size") > NEIGHBOURS + 2), joined, similarity, texts=texts)
     rest = materialize(rest.join(pairs, ["a", "b"], "left_anti"), "line-pairs")
     if rest.limit(1).count():
         forget(joined)
-        more = verified(docs, found, rest, similarity)
+        more = verified(texts, rest, similarity)
         joined = connected_components(links.unionByName(more))
         forget(more)
-    forget(ranked, pairs, links, rest)
+    forget(ranked, texts, pairs, links, rest)
     places = found.select("line_id", "doc_id", "line_no")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "line_no")
     first = places.join(joined.withColumnRenamed("node", "line_id"), "line_id").groupBy("root").agg(F.min(order).alias("at")).select("at.doc_id", "at.line_no")
@@ -154,15 +169,42 @@ def kept_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return alone.unionByName(first).groupBy("doc_id").agg(F.array_sort(F.collect_list("line_no")).alias("lines"))
 
 
-def unlinked_pairs(docs: DataFrame, found: DataFrame, ranked: DataFrame, joined: DataFrame, similarity: float, crowded: int = CROWDED) -> DataFrame:
-    """Distinct candidates (a, b) of ranked(line_id, band, size) that share a band and are not in one component of joined(node, root).
+def sketches(texts: DataFrame) -> DataFrame:
+    """(line_id, m, w0, w1, ...) of texts(line_id, line): how many shingles a line has, and bits, each told by whether an odd number of them fall on it."""
+    shingles = shingle_rows(texts.select("line_id", "line")).distinct()
+    word, mark = F.pmod(F.shiftright("s", 6), F.lit(WORDS)), F.expr("shiftleft(1L, cast(pmod(s, 64L) as int))")
+    words = (F.coalesce(F.bit_xor(F.when(word == i, mark)), F.lit(0).cast("long")).alias(f"w{i}") for i in range(WORDS))
+    return shingles.groupBy("line_id").agg(F.count(F.lit(1)).alias("m"), *words)
+
+
+def _perhaps_alike(similarity: float) -> Column:
+    """Whether two lines x and y of sketches may be alike. A shingle that only one of them has changes one bit, so no fewer shingles than bits differ."""
+    bits = functools.reduce(lambda a, b: a + b, (F.bit_count(F.col(f"w{i}_x").bitwiseXOR(F.col(f"w{i}_y"))) for i in range(WORDS)))
+    sizes = F.least("m_x", "m_y") >= similarity * F.greatest("m_x", "m_y") - 1e-9
+    return sizes & (bits <= (1 - similarity) / (1 + similarity) * (F.col("m_x") + F.col("m_y")) + 1e-9)
+
+
+def unlinked_pairs(docs: DataFrame, found: DataFrame, ranked: DataFrame, joined: DataFrame, similarity: float, crowded: int = CROWDED, texts: DataFrame | None = None) -> DataFrame:
+    """Distinct candidates (a, b) of ranked(line_id, band, size) that share a band, are not in one component of joined(node, root) and may be alike.
 
     In bands of more than `crowded` lines, pairs that cannot be alike are left out by prefixes: of two sets that are
     alike, ordered by one order, rarest first, the first n - ceil(similarity * n) + 1 members have one in common.
+    texts(line_id, line) spares reading the lines again.
     """
     rooted = materialize(unlinked_in_bands(ranked, "line_id", joined).join(found.select("line_id", *_PACKED), "line_id"), "line-mixed")
     few, many = rooted.where(F.col("size") <= crowded), rooted.where(F.col("size") > crowded)
-    sets = materialize(shingle_rows(texts_of(docs, found, many.select("line_id").distinct())).distinct(), "line-shingles")
+    ids = rooted.select("line_id").distinct()
+    sets = materialize(sketches(texts_of(docs, found, ids) if texts is None else texts.join(ids, "line_id")), "line-sketches")
+    across = lambda members, *keys, together=0: pairs_across(members, list(keys), "line_id", _PACKED, _agreeing("_x", "_y") & _perhaps_alike(similarity), sets, together)
+    pairs = across(few, "band", together=TOGETHER)
+    if many.limit(1).count():
+        pairs = pairs.unionByName(across(many.join(prefixes(docs, found, many.select("line_id").distinct(), similarity), "line_id"), "band", "s"))
+    return pairs.distinct()
+
+
+def prefixes(docs: DataFrame, found: DataFrame, ids: DataFrame, similarity: float) -> DataFrame:
+    """A table (line_id, s) of the prefix of each of ids(line_id): its rarest shingles, as many as two alike lines must share one of."""
+    sets = materialize(shingle_rows(texts_of(docs, found, ids)).distinct(), "line-shingles")
     # Counted by groups of shingles, of a fixed number; any one order serves, the rarest first parts the most pairs.
     group = F.pmod("s", F.lit(GROUPS))
     sizes = {r["group"]: r["count"] for r in sets.groupBy(group.alias("group")).count().collect()}
@@ -170,10 +212,9 @@ def unlinked_pairs(docs: DataFrame, found: DataFrame, ranked: DataFrame, joined:
     own = Window.partitionBy("line_id")
     ordered = sets.withColumn("rarity", rarity).select("line_id", "s", F.row_number().over(own.orderBy("rarity", "s")).alias("k"), F.count(F.lit(1)).over(own).alias("n"))
     prefix = ordered.where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1).select("line_id", "s")
-    prefixed = materialize(many.join(prefix, "line_id"), "line-prefixes")
+    prefix = materialize(prefix, "line-prefixes")
     forget(sets)
-    across = lambda members, *keys: pairs_across(members, list(keys), "line_id", _PACKED, _agreeing("_x", "_y"))
-    return across(few, "band").unionByName(across(prefixed, "band", "s")).distinct()
+    return prefix
 
 
 def texts_of(docs: DataFrame, found: DataFrame, ids: DataFrame) -> DataFrame:
@@ -186,21 +227,19 @@ def texts_of(docs: DataFrame, found: DataFrame, ids: DataFrame) -> DataFrame:
     return both.dropDuplicates(["h1", "h2"]).select("line_id", "line")
 
 
-def verified(docs: DataFrame, found: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """Of the pairs (a, b) of lines of found, a table of those whose exact Jaccard similarity is high enough."""
+def verified(texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """Of the pairs (a, b) of lines of texts(line_id, line), a table of those whose exact Jaccard similarity is high enough."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("line_id"))
-    texts = materialize(texts_of(docs, found, ends.distinct()), "line-texts")
-    shingles = ends.join(found.select("line_id", "n"), "line_id").agg(F.sum("n")).first()[0] or 0
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-shingles // TASK_SHINGLES))
+    shingles = ends.join(texts.select("line_id", F.length("line").alias("n")), "line_id").agg(F.sum("n")).first()[0] or 0
+    parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-shingles // TASK_SHINGLES))
     at = lambda c: texts.select(F.col("line_id").alias(c), F.col("line").alias(f"line_{c}"))
     # Merged by b, so that all shingles of a pair stay in the task that makes them, and in so many parts that they fit.
     both = pairs.join(at("a"), "a").repartition(parts, "b").join(at("b").repartition(parts, "b").hint("merge"), "b")
     sides = both.select("a", "b", F.inline(F.array(*(F.struct(F.lit(i + 1).alias("side"), F.col(f"line_{c}").alias("line")) for i, c in enumerate("ab")))))
-    shared = shingle_rows(sides).groupBy("a", "b", "s").agg(F.bit_or("side").alias("sides"))
-    sizes = shared.groupBy("a", "b").agg(F.sum(F.when(F.col("sides") == 3, 1).otherwise(0)).alias("common"), F.count(F.lit(1)).alias("either"))
-    links = materialize(sizes.where(F.col("common") >= similarity * F.col("either") - 1e-9).select("a", "b"), "line-links")
-    forget(texts)
-    return links
+    whole = lambda i: F.flatten(F.collect_list(F.when(F.col("side") == i, F.col("hashes"))))
+    sets = shingle_blocks(sides).groupBy("a", "b").agg(whole(1).alias("x"), whole(2).alias("y"))
+    alike = F.size(F.array_intersect("x", "y")) >= similarity * F.size(F.array_union("x", "y")) - 1e-9
+    return materialize(sets.where(alike).select("a", "b"), "line-links")
 
 
 @rows_apart

@@ -411,6 +411,31 @@ def test_crowded_bands_lose_no_pairs(spark):
         assert want <= {tuple(sorted((ids[r["a"]], ids[r["b"]]))) for r in pairs.collect()}
 
 
+def test_shingle_sets_are_those_of_the_text(spark):
+    """Hashes by blocks are those of single shingles, at every length around a block's end and for long characters."""
+    texts = ["a", "abcd", "abcde", "\U0001f600é漢ab" * 3, *(prose(60, 40)[:n] for n in range(30, 75)), "=" * 100]
+    rows = spark.createDataFrame(list(enumerate(texts)), "line_id long, line string")
+    want = {(r["line_id"], r["s"]) for r in line_dedup.shingle_rows(rows).collect()}
+    assert {(r["line_id"], h) for r in line_dedup.shingle_blocks(rows).collect() for h in r["hashes"]} == want
+    sizes = {r["line_id"]: r["m"] for r in line_dedup.sketches(rows).collect()}
+    assert sizes == {i: len({t[k : k + 5] for k in range(max(1, len(t) - 4))}) for i, t in enumerate(texts)}
+
+
+def test_unlike_lines_of_a_band_give_no_pairs(spark):
+    """Variants of one line that are a little less than alike share bands, but are judged before they are put out as pairs."""
+    rng, base = np.random.default_rng(71), prose(70, 80).split()
+    texts = [" ".join(base[k] if rng.random() > 0.12 else prose(int(rng.integers(1 << 40)), 1) for k in range(80)) for _ in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = materialize(line_dedup.signatures(docs).withColumn("line_id", F.monotonically_increasing_id()), "found")
+    ids = {r["line_id"]: r["doc_id"] for r in found.collect()}
+    ranked = found.select("line_id", F.lit(1).cast("long").alias("band"), F.lit(len(texts)).cast("long").alias("size"))
+    none = spark.createDataFrame([], "node long, root long")
+    for crowded in (8, 1000):
+        got = {tuple(sorted((ids[r["a"]], ids[r["b"]]))) for r in line_dedup.unlinked_pairs(docs, found, ranked, none, 0.8, crowded).collect()}
+        assert all(jaccard(texts[i], texts[j]) >= 0.7 for i, j in got)
+    assert sum(jaccard(texts[i], texts[j]) >= 0.5 for j in range(120) for i in range(j)) >= 1000
+
+
 def test_lines_of_any_ids(spark):
     line, last = prose(14, 30), (1 << 63) - 1
     rows = [(None, line), (-5, f"{line}z\n{prose(15, 20)}"), (last, line + "q"), (-(1 << 63), prose(16, 20)), (7, line)]
