@@ -222,7 +222,8 @@ def slots(spark, p: Plan, seed: int = SEED) -> DataFrame:
 
 def mixed(rows: DataFrame, p: Plan, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """(shard, no, slot, epoch, row, doc_id, start, n): the words of documents that every slot of the mix takes."""
-    joined = pieces(rows, p, block).join(slots(rows.sparkSession, p, seed), ["no", "block"])
+    # Spark takes the slots for as few as the shards that they are made from; merged, they are not gathered on the driver.
+    joined = pieces(rows, p, block).join(slots(rows.sparkSession, p, seed).hint("merge"), ["no", "block"])
     n = F.when(F.col("words") < 0, F.col("n")).otherwise(F.greatest(F.lit(0), F.least(F.col("n"), F.col("words") - F.col("at"))))
     return joined.select("shard", "no", "slot", "epoch", "row", "doc_id", "start", n.alias("n")).where("n > 0")
 

@@ -311,6 +311,14 @@ def test_mix(docs):
     assert sorted(mixing.mix_report(docs.repartition(7)).collect()) == sorted(rows)
 
 
+def test_slots_are_not_gathered_on_the_driver(spark, docs):
+    """There are more slots than Spark takes them for, so they must not be broadcast."""
+    rows, p = mixing.prepared(docs)
+    plan = mixing.mixed(rows, p)._jdf.queryExecution().executedPlan().toString()
+    joins = [x for x in plan.splitlines() if "Join" in x and "block" in x]
+    assert joins and all("SortMergeJoin" in x for x in joins)
+
+
 def test_mixed_documents_are_runs_of_words(docs):
     texts = texts_of(docs)
     got = mixing.mixed_documents(docs)
