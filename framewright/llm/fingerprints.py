@@ -11,13 +11,14 @@ of that segment's walk. Bands of bits, drawn from the samples, find candidates;
 from __future__ import annotations
 
 import bisect
+import functools
 import hashlib
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewright.llm.common import connected_components, forget, materialize, near_in_bands, pairs_across, row_slices, shared_bands, unlinked_in_bands
@@ -41,6 +42,9 @@ BANDS, DRAWN, BITS = 24, 8, 5
 NEIGHBOURS, ORDERED = 2, 1024
 #: Fingerprints of a band beyond which its pairs are found by two groups of samples, of so many each, at a time.
 CROWDED, GROUP = 64, 4
+#: Samples in a long, and longs of a fingerprint.
+LANES = 7
+WORDS = -(-SAMPLES // LANES)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -315,12 +319,10 @@ def edit_groups(prints: DataFrame, least: float = LIKENESS) -> DataFrame:
     pairs = materialize(near_in_bands(ranked, "node", [], NEIGHBOURS, ORDERED), "edit-pairs")
     links = alike_pairs(nodes, pairs, least)
     joined = connected_components(links)
-    rest = materialize(unlinked_pairs(nodes, ranked.where(F.col("size") > NEIGHBOURS + 2), joined, least).join(pairs, ["a", "b"], "left_anti"), "edit-pairs")
+    rest = materialize(unlinked_pairs(nodes, ranked.where(F.col("size") > NEIGHBOURS + 2), joined, least), "edit-pairs")
     if rest.limit(1).count():
         forget(joined)
-        more = alike_pairs(nodes, rest, least)
-        joined = connected_components(links.unionByName(more))
-        forget(more)
+        joined = connected_components(links.unionByName(rest))
     forget(ranked, pairs, links, rest)
     roots = nodes.join(joined, "node", "left").select("fingerprint", "first", F.coalesce("root", "node").alias("root"))
     ids = roots.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -348,13 +350,30 @@ def crowded_keys(least: float, group: int = GROUP) -> list[tuple[int, ...]]:
     return [(i, j) for j in range(count) for i in range(j) if i % (agreeing - 1) == j % (agreeing - 1)]
 
 
+def sample_words(nodes: DataFrame) -> DataFrame:
+    """(node, w0, w1, ...) of nodes(node, fingerprint): the samples, LANES in a long, whose first eight bits stay free."""
+    word = lambda i: F.conv(F.hex(F.substring("fingerprint", i * LANES + 1, LANES)), 16, 10).cast("long")
+    return nodes.select("node", *(word(i).alias(f"w{i}") for i in range(WORDS)))
+
+
+def words_alike(least: float) -> Column:
+    """Whether two nodes x and y of sample_words are alike in `least` of their samples: as likeness() has it."""
+    low, high = sum(0x7F << 8 * i for i in range(LANES)), sum(0x80 << 8 * i for i in range(LANES))
+    apart = [F.col(f"w{i}_x").bitwiseXOR(F.col(f"w{i}_y")) for i in range(WORDS)]
+    unlike = [F.bit_count((z.bitwiseAND(F.lit(low)) + F.lit(low)).bitwiseOR(z).bitwiseAND(F.lit(high))) for z in apart]
+    return (F.lit(SAMPLES) - functools.reduce(lambda a, b: a + b, unlike)) / F.lit(float(SAMPLES)) >= least
+
+
 def unlinked_pairs(nodes: DataFrame, ranked: DataFrame, joined: DataFrame, least: float, crowded: int = CROWDED) -> DataFrame:
-    """Distinct pairs (a, b) of ranked(node, band, size) that share a band and are not in one component of joined(node, root).
+    """Distinct pairs (a, b) of ranked(node, band, size) that share a band, are not in one component of joined(node, root) and are alike.
 
-    In bands of more than `crowded` fingerprints, pairs that cannot be alike are left out by crowded_keys.
+    Likeness is judged within the join, which puts out no other pairs. In bands of more than `crowded` fingerprints,
+    pairs that cannot be alike are left out by crowded_keys.
     """
     rooted = materialize(unlinked_in_bands(ranked, "node", joined), "edit-mixed")
     many = rooted.where(F.col("size") > crowded).join(nodes.select("node", "fingerprint"), "node")
     key = lambda groups: F.xxhash64(F.lit(",".join(map(str, groups))), *(F.substring("fingerprint", i * GROUP + 1, GROUP) for i in groups))
     keyed = many.select("node", "root", "band", F.explode(F.array(*map(key, crowded_keys(least)))).alias("key"))
-    return pairs_across(rooted.where(F.col("size") <= crowded), ["band"], "node").unionByName(pairs_across(keyed, ["band", "key"], "node")).distinct()
+    words = materialize(sample_words(nodes.join(rooted.select("node").distinct(), "node")), "edit-words")
+    across = lambda members, *keys: pairs_across(members, list(keys), "node", (), words_alike(least), words)
+    return across(rooted.where(F.col("size") <= crowded), "band").unionByName(across(keyed, "band", "key")).distinct()

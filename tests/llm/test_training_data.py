@@ -583,6 +583,20 @@ def test_crowded_bands_of_fingerprints_lose_no_pairs(spark, crowded):
     assert len(want) >= 50 and want <= {(r["a"], r["b"]) for r in got.collect()}
 
 
+@pytest.mark.parametrize("crowded", [8, 1000])
+def test_unlike_fingerprints_of_a_band_give_no_pairs(spark, crowded):
+    """Fingerprints of one band, most a little less than alike: exactly the alike pairs are put out."""
+    rng = np.random.default_rng(6)
+    prints = np.repeat(rng.integers(0, 256, (1, 128)), 120, axis=0).astype(np.uint8)
+    for r in prints:
+        r[rng.choice(128, int(rng.integers(9, 22)), replace=False)] ^= np.uint8(rng.choice([1, 128, 255]))
+    want = {(i, j) for j in range(120) for i in range(j) if fingerprints.likeness(prints[i], prints[j]) >= 0.8}
+    nodes = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(prints)], "node long, fingerprint binary")
+    ranked = nodes.select("node", F.lit(1).cast("long").alias("band"), F.lit(120).cast("long").alias("size"))
+    got = fingerprints.unlinked_pairs(nodes, ranked, spark.createDataFrame([], "node long, root long"), 0.8, crowded)
+    assert 50 <= len(want) <= 5000 and {(r["a"], r["b"]) for r in got.collect()} == want
+
+
 def test_fingerprints_of_rows_without_ids(spark):
     rows = [(None, prose(900 + i, 30)) for i in range(5)] + [(-2, prose(950, 30)), (-(1 << 63), prose(951, 30))]
     got = fingerprints.fingerprint_report(spark.createDataFrame(rows, "doc_id long, text string"), bucket=2).collect()
