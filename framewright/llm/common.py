@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -64,6 +66,26 @@ def forget(*tables: DataFrame) -> None:
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+#: What a stage keeps in a Python worker from task to task, by the stage's name.
+_KEPT: dict[str, dict] = {}
+
+
+def kept(stage: str) -> dict:
+    """What the stage keeps in this process from task to task.
+
+    Executors hand a worker from one stage to the next, and its memory with it; so what others have kept goes first.
+    """
+    if stage not in _KEPT:
+        if _KEPT:
+            _KEPT.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+                trim(0)
+        _KEPT[stage] = {}
+    return _KEPT[stage]
+
+
 def rows_apart(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     """A stage or report over docs for which each row is a document of its own.
 

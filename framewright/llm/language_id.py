@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.common import text_slices
+from framewright.llm.common import kept, text_slices
 
 #: The classifier is fitted on this many labelled documents a language at most, of whose letters a dictionary holds so many bytes.
 FIT_DOCUMENTS, DICTIONARY_BYTES = 500, 400 << 10
@@ -58,6 +58,8 @@ def fit(docs: DataFrame, documents: int = FIT_DOCUMENTS, size: int = DICTIONARY_
 
 class Classifier:
     def __init__(self, dictionaries: dict[str, bytes], level: int = LEVEL) -> None:
+        # A worker may still hold all words of the stage before.
+        kept("language")
         self.by: list[tuple[str, zstandard.ZstdCompressor]] = []
         for lang in sorted(dictionaries):
             d = zstandard.ZstdCompressionDict(dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.common import materialize, text_slices, utf8_rows
+from framewright.llm.common import kept, materialize, text_slices, utf8_rows
 
 #: Id after each document.
 END = 1
@@ -99,13 +99,11 @@ class WordEncoder(dict):
         return b"".join(map(self.__getitem__, text.split()))
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    own = kept("tokens")
+    if path not in own:
+        own[path] = WordEncoder(path)
+    return own[path]
 
 
 def token_table(docs: DataFrame, path: str | None = None, end: int = END) -> DataFrame:

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import os
 import re
+import weakref
 import zlib
 
 import numpy as np
@@ -266,6 +267,17 @@ def test_samples_count_texts_not_copies(spark):
     assert names[0] == names[1] and names[0]
 
 
+def test_a_worker_frees_the_words_of_other_stages():
+    """A worker goes from packing to the next language ID with all that it has remembered; a classifier frees it."""
+    encoder = tokens.encoder(tokens.default_path())
+    encoder.encode(b"some words to be remembered")
+    assert len(encoder) >= 5 and tokens.encoder(tokens.default_path()) is encoder
+    there = weakref.ref(encoder)
+    del encoder
+    language_id.Classifier({"en": b"words of a language"})
+    assert there() is None and tokens.encoder(tokens.default_path()).encode(b"words")
+
+
 def test_language_of_nothing():
     judge = language_id.Classifier({"aa": b"one two three", "bb": b"eins zwei drei"})
     assert judge.predict(None) == judge.predict("12 !?") == ("und", 0.0)
