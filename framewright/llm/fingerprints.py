@@ -367,13 +367,17 @@ def words_alike(least: float) -> Column:
 def unlinked_pairs(nodes: DataFrame, ranked: DataFrame, joined: DataFrame, least: float, crowded: int = CROWDED) -> DataFrame:
     """Distinct pairs (a, b) of ranked(node, band, size) that share a band, are not in one component of joined(node, root) and are alike.
 
-    Likeness is judged within the join, which puts out no other pairs. In bands of more than `crowded` fingerprints,
-    pairs that cannot be alike are left out by crowded_keys.
+    Likeness is judged within the join, which puts out no other pairs. Of the nodes of bands of more than `crowded`
+    fingerprints, pairs that cannot be alike are left out by crowded_keys. Such a node is keyed once, in however many
+    of these bands it is, so its rows are as many as the sets of keys; that a pair shares a band is judged last.
     """
     rooted = materialize(unlinked_in_bands(ranked, "node", joined), "edit-mixed")
-    many = rooted.where(F.col("size") > crowded).join(nodes.select("node", "fingerprint"), "node")
+    placed = rooted.where(F.col("size") > crowded).groupBy("node", "root").agg(F.collect_list("band").alias("bands"))
+    many = placed.join(nodes.select("node", "fingerprint"), "node")
     key = lambda groups: F.xxhash64(F.lit(",".join(map(str, groups))), *(F.substring("fingerprint", i * GROUP + 1, GROUP) for i in groups))
-    keyed = many.select("node", "root", "band", F.explode(F.array(*map(key, crowded_keys(least)))).alias("key"))
+    keyed = many.select("node", "root", F.explode(F.array(*map(key, crowded_keys(least)))).alias("key"))
     words = materialize(sample_words(nodes.join(rooted.select("node").distinct(), "node")), "edit-words")
     across = lambda members, *keys: pairs_across(members, list(keys), "node", (), words_alike(least), words)
-    return across(rooted.where(F.col("size") <= crowded), "band").unionByName(across(keyed, "band", "key")).distinct()
+    at = lambda c: placed.select(F.col("node").alias(c), F.col("bands").alias(f"bands_{c}"))
+    crowd = across(keyed, "key").join(at("a"), "a").join(at("b"), "b").where(F.arrays_overlap("bands_a", "bands_b")).select("a", "b")
+    return across(rooted.where(F.col("size") <= crowded), "band").unionByName(crowd).distinct()

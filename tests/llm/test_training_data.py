@@ -609,6 +609,27 @@ def test_unlike_fingerprints_of_a_band_give_no_pairs(spark, crowded):
     assert 50 <= len(want) <= 5000 and {(r["a"], r["b"]) for r in got.collect()} == want
 
 
+def test_nodes_of_many_crowded_bands_are_keyed_once(spark, monkeypatch):
+    """Rows of keys grow with the nodes, not with the crowded bands that each is in; pairs that share none are left out."""
+    rng = np.random.default_rng(8)
+    prints = np.repeat(rng.integers(0, 256, (1, 128)), 40, axis=0).astype(np.uint8)
+    for r in prints:
+        r[rng.choice(128, 10, replace=False)] ^= 1
+    nodes = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(prints)], "node long, fingerprint binary")
+    own = F.array(*(F.pmod("node", F.lit(2)) + 2 * b for b in range(6)))
+    ranked = nodes.select("node", F.explode(own).alias("band"), F.lit(20).cast("long").alias("size"))
+    rows, across = [], fingerprints.pairs_across
+
+    def counted(members, *args):
+        rows.append(members.count())
+        return across(members, *args)
+
+    monkeypatch.setattr(fingerprints, "pairs_across", counted)
+    got = {(r["a"], r["b"]) for r in fingerprints.unlinked_pairs(nodes, ranked, spark.createDataFrame([], "node long, root long"), 0.8, 8).collect()}
+    want = {(i, j) for j in range(40) for i in range(j) if i % 2 == j % 2 and fingerprints.likeness(prints[i], prints[j]) >= 0.8}
+    assert len(want) >= 100 and got == want and max(rows) == 40 * len(fingerprints.crowded_keys(0.8))
+
+
 def test_fingerprints_of_rows_without_ids(spark):
     rows = [(None, prose(900 + i, 30)) for i in range(5)] + [(-2, prose(950, 30)), (-(1 << 63), prose(951, 30))]
     got = fingerprints.fingerprint_report(spark.createDataFrame(rows, "doc_id long, text string"), bucket=2).collect()
