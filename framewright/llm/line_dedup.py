@@ -171,10 +171,12 @@ def kept_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 def sketches(texts: DataFrame) -> DataFrame:
     """(line_id, m, w0, w1, ...) of texts(line_id, line): how many shingles a line has, and bits, each told by whether an odd number of them fall on it."""
-    shingles = shingle_rows(texts.select("line_id", "line")).distinct()
-    word, mark = F.pmod(F.shiftright("s", 6), F.lit(WORDS)), F.expr("shiftleft(1L, cast(pmod(s, 64L) as int))")
-    words = (F.coalesce(F.bit_xor(F.when(word == i, mark)), F.lit(0).cast("long")).alias(f"w{i}") for i in range(WORDS))
-    return shingles.groupBy("line_id").agg(F.count(F.lit(1)).alias("m"), *words)
+    # Made distinct line by line, as arrays, and summed by word first: rows of single shingles fill no large table.
+    whole = shingle_blocks(texts.select("line_id", "line")).groupBy("line_id").agg(F.array_distinct(F.flatten(F.collect_list("hashes"))).alias("s"))
+    word, mark = F.pmod(F.shiftright("s", 6), F.lit(WORDS)).cast("int"), F.expr("shiftleft(1L, cast(pmod(s, 64L) as int))")
+    each = whole.select("line_id", F.explode("s").alias("s")).groupBy("line_id", word.alias("word")).agg(F.count(F.lit(1)).alias("m"), F.bit_xor(mark).alias("marks"))
+    words = (F.coalesce(F.bit_xor(F.when(F.col("word") == i, F.col("marks"))), F.lit(0).cast("long")).alias(f"w{i}") for i in range(WORDS))
+    return each.groupBy("line_id").agg(F.sum("m").alias("m"), *words)
 
 
 def _perhaps_alike(similarity: float) -> Column:

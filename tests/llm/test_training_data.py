@@ -441,6 +441,18 @@ def test_shingle_sets_are_those_of_the_text(spark):
     assert sizes == {i: len({t[k : k + 5] for k in range(max(1, len(t) - 4))}) for i, t in enumerate(texts)}
 
 
+def test_sketches_without_a_table_of_shingles(spark):
+    """Sketches have each distinct shingle once, though no aggregation has single shingles as keys."""
+    texts = ["abc", "=" * 90, "ab" * 50, prose(61, 60), f"{prose(62, 9)} {prose(62, 9)}"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "line_id long, line string")
+    want = {i: [0] * line_dedup.WORDS for i in range(len(texts))}
+    for i, s in {(r["line_id"], r["s"]) for r in line_dedup.shingle_rows(rows).collect()}:
+        want[i][(s >> 6) % line_dedup.WORDS] ^= 1 << s % 64
+    made = line_dedup.sketches(rows)
+    got = {r["line_id"]: [r[f"w{k}"] % (1 << 64) for k in range(line_dedup.WORDS)] for r in made.collect()}
+    assert got == want and not re.search(r"Aggregate\(keys=\[line_id#\d+L?, s#", made._jdf.queryExecution().executedPlan().toString())
+
+
 def test_unlike_lines_of_a_band_give_no_pairs(spark):
     """Variants of one line that are a little less than alike share bands, but are judged before they are put out as pairs."""
     rng, base = np.random.default_rng(71), prose(70, 80).split()
