@@ -265,7 +265,7 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, seed: int = SEED, weigh
         import re
 
         word = re.compile(WORD)
-        for batch in batches:
+        for batch in (part for whole in batches for part in text_slices(whole)):
             texts, names = [], batch.schema.names[:-1]
             for text, taken in zip(batch.column("text").to_pylist(), batch.column("__fw_runs").to_pylist(), strict=True):
                 spans: list[list[int]] = []

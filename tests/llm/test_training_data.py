@@ -8,12 +8,13 @@ import weakref
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from framewright.llm import fingerprints, language_id, line_dedup, media_columns, mixing, packing, secret_scan, simhash_dedup, substring_dedup, token_output, tokens
-from framewright.llm.common import connected_components, forget, materialize, shared_dir
+from framewright.llm.common import SLICE_BYTES, connected_components, forget, materialize, shared_dir
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -278,6 +279,17 @@ def test_a_worker_frees_the_words_of_other_stages():
     assert there() is None and tokens.encoder(tokens.default_path()).encode(b"words")
 
 
+def test_workers_get_small_batches_of_long_texts(spark):
+    """While a table is written, a batch has about as many bytes as a worker handles at a time; after it all is as it was."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    long = spark.range(0, 2000, 1, 1).select(F.repeat(F.lit("some text "), 2000).alias("text"))
+    sizes = long.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64()), pa.array([len(b)], pa.int64())], ["bytes", "rows"]) for b in batches), "bytes long, rows long")
+    got = materialize(sizes, "batch-sizes").collect()
+    assert sum(r["rows"] for r in got) == 2000 and max(r["bytes"] for r in got) <= 2 * SLICE_BYTES
+    assert spark.conf.get(key, None) == before
+
+
 def test_language_of_nothing():
     judge = language_id.Classifier({"aa": b"one two three", "bb": b"eins zwei drei"})
     assert judge.predict(None) == judge.predict("12 !?") == ("und", 0.0)
