@@ -19,8 +19,10 @@ from framewright.llm.common import kept, materialize, text_slices, utf8_rows
 
 #: Id after each document.
 END = 1
-#: Words of which a worker remembers the ids; beyond that it starts anew.
-REMEMBERED = 1_500_000
+#: Words of which a worker remembers the ids, of up to so many bytes; beyond that it starts anew.
+REMEMBERED, LONGEST = 1_000_000, 64
+#: Words that are remembered at once. Most others are met once, so of them only those that come again are, told by so many marks by hashes.
+AT_ONCE, MARKS = 1 << 16, 1 << 22
 #: Tasks that write the table: the sums of a source by task are planned on the driver.
 MOST_PARTS = 32_768
 _LATIN = [chr(i) for i in range(0x250)]
@@ -28,8 +30,9 @@ _LETTERS = re.escape("".join(c for c in _LATIN if unicodedata.category(c)[0] ==
 _NUMBERS = re.escape("".join(c for c in _LATIN if unicodedata.category(c)[0] == "N"))
 #: What the tokenizer's own pattern finds in lower-case Latin text.
 _PIECE = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[{_NUMBERS}]|[^\\s{_LETTERS}{_NUMBERS}]+")
-#: Words that go to the tokenizer as they are: beyond Latin letters, or with the mark of a special token.
-_OTHER = re.compile("[^\x00-įı-ɏ]|<\\||[\x1c-\x1f]")
+_LEAVING = "".join(c for c in _LATIN if ord(c.lower()[0]) >= len(_LATIN))
+#: Words that go to the tokenizer as they are: beyond Latin letters or with one whose small letter is, or with the mark of a special token.
+_OTHER = re.compile(f"[^\x00-įı-ɏ]|[{_LEAVING}]|<\\||[\x1c-\x1f]")
 
 
 def byte_letters() -> dict[int, str]:
@@ -46,7 +49,7 @@ def default_path() -> str:
 
 
 class WordEncoder(dict):
-    """Ids of words between white space, as bytes of unsigned 16 or 32 bits; remembers what it has met.
+    """Ids of words between white space, as bytes of unsigned 16 or 32 bits; remembers those that come again.
 
     White space always parts the tokenizer's pieces, so the ids of a text are those of its words in a row.
     """
@@ -58,7 +61,7 @@ class WordEncoder(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
-        self.spelled, self.pieces = byte_letters(), {}
+        self.spelled, self.marks, self.marked = byte_letters(), bytearray(MARKS), 0
         self.plain = self.tokenizer.model.__class__.__name__ == "BPE" and self._alike()
 
     def _alike(self) -> bool:
@@ -66,7 +69,7 @@ class WordEncoder(dict):
         probe = "Don't STOP, naïve-Größe x2²½ !?. a'llé 12ab's ÀÉ… ʼn"
         self.plain = True
         got = b"".join(self._ids(w) for w in probe.encode().split())
-        self.pieces.clear()
+        self.clear()
         return list(np.frombuffer(got, self.dtype)) == self.tokenizer.encode(probe, add_special_tokens=False).ids
 
     @property
@@ -77,22 +80,27 @@ class WordEncoder(dict):
         text = word.decode()
         if not self.plain or _OTHER.search(text):
             return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        out = b""
-        for piece in _PIECE.findall(text.lower()):
-            ids = self.pieces.get(piece)
-            if ids is None:
-                spelled = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.spelled)
-                ids = self.pieces[piece] = array(self.code, [t.id for t in self.tokenizer.model.tokenize(spelled)]).tobytes()
-            out += ids
-        return out
+        pieces = _PIECE.findall(text.lower())
+        if pieces != [text]:
+            # Alone, a piece is a word that is cut no further.
+            return b"".join([self[piece.encode()] for piece in pieces])
+        spelled = text if text.isascii() and text.isprintable() else word.decode("latin-1").translate(self.spelled)
+        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(spelled)]).tobytes()
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-            self.pieces.clear()
         ids = self._ids(word)
-        if len(word) <= 64:
+        if len(word) > LONGEST:
+            return ids
+        at = hash(word) % MARKS
+        if self.marks[at] or len(self) < AT_ONCE:
+            if len(self) >= REMEMBERED:
+                self.clear()
             self[word] = ids
+            return ids
+        if self.marked >= MARKS // 2:
+            self.marks, self.marked = bytearray(MARKS), 0
+        self.marks[at] = 1
+        self.marked += 1
         return ids
 
     def encode(self, text: bytes) -> bytes:

@@ -279,6 +279,26 @@ def test_a_worker_frees_the_words_of_other_stages():
     assert there() is None and tokens.encoder(tokens.default_path()).encode(b"words")
 
 
+def test_a_worker_remembers_words_that_come_again(monkeypatch):
+    """Most words of a large table are met once; they take no place in a worker's memory once it holds many."""
+    monkeypatch.setattr(tokens, "AT_ONCE", 100)
+    encoder = tokens.WordEncoder(tokens.default_path())
+    alone = [f"alone{i:04d}x" for i in range(3000)]
+    encoder.encode(" ".join(alone).encode())
+    assert len(encoder) < 600
+    want = encoder.tokenizer.encode("Again again, AGAIN", add_special_tokens=False).ids
+    for _ in range(3):
+        assert np.frombuffer(encoder.encode(b"Again again, AGAIN"), encoder.dtype).tolist() == want
+    assert {b"Again", b"again,", b"AGAIN", b"again"} <= set(encoder)
+
+
+def test_letters_whose_small_form_is_not_latin_are_the_tokenizers():
+    encoder = tokens.WordEncoder(tokens.default_path())
+    for word in ("a\u0181b", "\u0186!", "x\u023ey's", "\u0244"):
+        want = encoder.tokenizer.encode(word, add_special_tokens=False).ids
+        assert all(np.frombuffer(encoder.encode(word.encode()), encoder.dtype).tolist() == want for _ in range(2))
+
+
 def test_workers_get_small_batches_of_long_texts(spark):
     """While a table is written, a batch has about as many bytes as a worker handles at a time; after it all is as it was."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
