@@ -60,9 +60,10 @@ class WordEncoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.spelled, self.marks, self.marked = byte_letters(), bytearray(MARKS), 0
-        self.plain = self.tokenizer.model.__class__.__name__ == "BPE" and self._alike()
+        self.plain = self.model.__class__.__name__ == "BPE" and self._alike()
 
     def _alike(self) -> bool:
         """Whether the tokenizer cuts words as this class does; if not, every new word goes to it whole."""
@@ -78,14 +79,18 @@ class WordEncoder(dict):
 
     def _ids(self, word: bytes) -> bytes:
         text = word.decode()
+        if self.plain and word.isalpha() and word.islower():
+            return self._whole(text)
         if not self.plain or _OTHER.search(text):
             return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         pieces = _PIECE.findall(text.lower())
         if pieces != [text]:
             # Alone, a piece is a word that is cut no further.
             return b"".join([self[piece.encode()] for piece in pieces])
-        spelled = text if text.isascii() and text.isprintable() else word.decode("latin-1").translate(self.spelled)
-        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(spelled)]).tobytes()
+        return self._whole(text if text.isascii() and text.isprintable() else word.decode("latin-1").translate(self.spelled))
+
+    def _whole(self, spelled: str) -> bytes:
+        return array(self.code, [t.id for t in self.model.tokenize(spelled)]).tobytes()
 
     def __missing__(self, word: bytes) -> bytes:
         ids = self._ids(word)
