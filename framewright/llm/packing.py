@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from framewright.llm.common import materialize
+from framewright.llm.common import kept, materialize
 from framewright.llm.mixing import MOST_SOURCES, WEIGHTS
 from framewright.llm.tokens import END, id_type, token_table
 
@@ -85,6 +85,7 @@ def _rows(table: DataFrame, plan: np.ndarray, number: dict[str | None, int], dty
     """A row for each partition that a document of table(doc_id, source, first, n, ids) reaches into, with the ids that it gives there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("packing")  # frees the words that this worker remembers
         unpack, width = zstandard.ZstdDecompressor(), np.dtype(dtype).itemsize
         pack = zstandard.ZstdCompressor(level=1)
         for whole in batches:
@@ -146,6 +147,7 @@ def _pack(plan: np.ndarray, windows: int, length: int, targets: np.ndarray, dtyp
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("packing")
         key, held = None, []
         kinds = {"ids": pa.list_(pa.int64())}
 
@@ -153,13 +155,15 @@ def _pack(plan: np.ndarray, windows: int, length: int, targets: np.ndarray, dtyp
             if got["doc_id"]:
                 yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.int64())) for k, v in got.items()], list(got))
 
-        for batch in batches:
-            for k, *row in zip(*(batch.column(c).to_pylist() for c in ("partition", "no", "at", "doc_id", "start", "doc_tokens", "ids")), strict=True):
-                if k != key and held:
-                    yield from table(done(key, held))
-                    held = []
-                key = k
-                held.append(tuple(row))
+        for whole in batches:
+            for i in range(0, len(whole), 1024):
+                batch = whole.slice(i, 1024)
+                for k, *row in zip(*(batch.column(c).to_pylist() for c in ("partition", "no", "at", "doc_id", "start", "doc_tokens", "ids")), strict=True):
+                    if k != key and held:
+                        yield from table(done(key, held))
+                        held = []
+                    key = k
+                    held.append(tuple(row))
         if held:
             yield from table(done(key, held))
 

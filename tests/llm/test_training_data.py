@@ -279,6 +279,20 @@ def test_a_worker_frees_the_words_of_other_stages():
     assert there() is None and tokens.encoder(tokens.default_path()).encode(b"words")
 
 
+@pytest.mark.parametrize("task", [packing._rows, packing._pack])
+def test_a_worker_frees_the_words_before_it_packs(task):
+    """Executors hand workers that have encoded to the tasks that pack; those need no words."""
+
+    class Table:
+        def mapInArrow(self, run, schema):
+            return run
+
+    there = weakref.ref(tokens.encoder(tokens.default_path()))
+    plan = np.zeros((1, 1), np.int64)
+    run = task(Table(), plan, {None: 0}, "<u2") if task is packing._rows else task(plan, 256, 2048, np.ones(1), "<u2", False)
+    assert list(run(iter([]))) == [] and there() is None
+
+
 def test_a_worker_remembers_words_that_come_again(monkeypatch):
     """Most words of a large table are met once; they take no place in a worker's memory once it holds many."""
     monkeypatch.setattr(tokens, "AT_ONCE", 100)
