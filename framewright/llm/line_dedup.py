@@ -29,7 +29,7 @@ MINIMA = ROWS * BANDS // 2
 #: Minima that a pair of candidates shares at least.
 AGREEING = MINIMA // 2
 #: Shingles of a row of the aggregation of minima, and of one that makes whole sets.
-BLOCK, SET_BLOCK = 16, 32
+BLOCK, SET_BLOCK = 32, 32
 #: Neighbours, in the order of a band, that a line is compared with first, besides the band's first line.
 NEIGHBOURS = 2
 #: Lines of a band that are put in order together; more lines are dealt into groups of about so many.
@@ -91,7 +91,7 @@ def _place() -> Column:
 def _split_place(place: str) -> list[Column]:
     """doc_id and line_no of a place."""
     number = f"cast(pmod({place}, cast({_LINES} as decimal(10,0))) as bigint)"
-    doc = f"case when {place} < cast({int(_NO_ID) * _LINES} as decimal(38,0)) then cast(({place} - {number}) / cast({_LINES} as decimal(10,0)) as bigint) end"
+    doc = f"case when {place} < cast({int(_NO_ID) * _LINES} as decimal(38,0)) then ({place} - {number}) div cast({_LINES} as decimal(10,0)) end"
     return [F.expr(doc).alias("doc_id"), F.expr(f"cast({number} as int)").alias("line_no")]
 
 
@@ -131,12 +131,11 @@ def candidates(found: DataFrame) -> DataFrame:
     return shared_bands(found.select("line_id", "n", F.explode(F.array(*(f"b{b}" for b in range(BANDS)))).alias("band")), "line_id")
 
 
-def near_pairs(ranked: DataFrame, found: DataFrame) -> DataFrame:
-    """Distinct candidates (a, b) among the pairs of each line with its band's first and with those before it by their minima."""
+def near_pairs(ranked: DataFrame, minima: DataFrame) -> DataFrame:
+    """Distinct candidates (a, b) among the pairs of each line with its band's first and with those before it by their minima, those of minima(line_id, p0, ...)."""
     # In order of the minima, lines that share more of them than the band stand side by side.
-    minima = found.select("line_id", *_PACKED)
     pairs = near_in_bands(ranked.join(minima, "line_id"), "line_id", _PACKED, NEIGHBOURS, ORDERED)
-    at = lambda c: found.select(F.col("line_id").alias(c), *(F.col(p).alias(f"{p}_{c}") for p in _PACKED))
+    at = lambda c: minima.select(F.col("line_id").alias(c), *(F.col(p).alias(f"{p}_{c}") for p in _PACKED))
     return pairs.join(at("a"), "a").join(at("b"), "b").where(_agreeing("_a", "_b")).select("a", "b")
 
 
@@ -150,7 +149,8 @@ def kept_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     found = materialize(signatures(docs).withColumn("line_id", F.monotonically_increasing_id()), "line-signatures")
     ranked = candidates(found)
     texts = materialize(texts_of(docs, found, ranked.select("line_id").distinct()), "line-texts")
-    pairs = materialize(near_pairs(ranked, found), "line-pairs")
+    # The table of texts has the minima of the lines that share bands, a small part of all.
+    pairs = materialize(near_pairs(ranked, texts.select("line_id", *_PACKED)), "line-pairs")
     links = verified(texts, pairs, similarity)
     joined = connected_components(links)
     # Up to NEIGHBOURS + 2 lines of a band have all been compared by now.
@@ -191,9 +191,10 @@ def unlinked_pairs(docs: DataFrame, found: DataFrame, ranked: DataFrame, joined:
 
     In bands of more than `crowded` lines, pairs that cannot be alike are left out by prefixes: of two sets that are
     alike, ordered by one order, rarest first, the first n - ceil(similarity * n) + 1 members have one in common.
-    texts(line_id, line) spares reading the lines again.
+    texts, as of texts_of, spares reading the lines again and meeting all lines of found.
     """
-    rooted = materialize(unlinked_in_bands(ranked, "line_id", joined).join(found.select("line_id", *_PACKED), "line_id"), "line-mixed")
+    minima = (found if texts is None else texts).select("line_id", *_PACKED)
+    rooted = materialize(unlinked_in_bands(ranked, "line_id", joined).join(minima, "line_id"), "line-mixed")
     few, many = rooted.where(F.col("size") <= crowded), rooted.where(F.col("size") > crowded)
     ids = rooted.select("line_id").distinct()
     sets = materialize(sketches(texts_of(docs, found, ids) if texts is None else texts.join(ids, "line_id")), "line-sketches")
@@ -206,7 +207,7 @@ def unlinked_pairs(docs: DataFrame, found: DataFrame, ranked: DataFrame, joined:
 
 def prefixes(docs: DataFrame, found: DataFrame, ids: DataFrame, similarity: float) -> DataFrame:
     """A table (line_id, s) of the prefix of each of ids(line_id): its rarest shingles, as many as two alike lines must share one of."""
-    sets = materialize(shingle_rows(texts_of(docs, found, ids)).distinct(), "line-shingles")
+    sets = materialize(shingle_rows(texts_of(docs, found, ids).select("line_id", "line")).distinct(), "line-shingles")
     # Counted by groups of shingles, of a fixed number; any one order serves, the rarest first parts the most pairs.
     group = F.pmod("s", F.lit(GROUPS))
     sizes = {r["group"]: r["count"] for r in sets.groupBy(group.alias("group")).count().collect()}
@@ -220,13 +221,13 @@ def prefixes(docs: DataFrame, found: DataFrame, ids: DataFrame, similarity: floa
 
 
 def texts_of(docs: DataFrame, found: DataFrame, ids: DataFrame) -> DataFrame:
-    """(line_id, line) of the distinct ids(line_id) of found, read again at the first place of each."""
-    needed = ids.join(found.select("line_id", "h1", "h2", "doc_id", "line_no"), "line_id")
+    """(line_id, line, p0, ...) of the distinct ids(line_id) of found, read again at the first place of each, with their minima."""
+    needed = ids.join(found.select("line_id", "h1", "h2", "doc_id", "line_no", *_PACKED), "line_id")
     own = perhaps_among(lines(docs), needed, "doc_id", "line_no").select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "doc_id", "line_no", "line")
     # Joined and made distinct by the same columns, so that texts move once.
-    at = needed.select("h1", "h2", "line_id", F.col("doc_id").alias("__doc"), F.col("line_no").alias("__no"))
+    at = needed.select("h1", "h2", "line_id", F.col("doc_id").alias("__doc"), F.col("line_no").alias("__no"), *_PACKED)
     both = own.join(at, ["h1", "h2"]).where(F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("line_no") == F.col("__no")))
-    return both.dropDuplicates(["h1", "h2"]).select("line_id", "line")
+    return both.dropDuplicates(["h1", "h2"]).select("line_id", "line", *_PACKED)
 
 
 def verified(texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:

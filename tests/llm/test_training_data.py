@@ -499,6 +499,27 @@ def test_sketches_without_a_table_of_shingles(spark):
     assert got == want and not re.search(r"Aggregate\(keys=\[line_id#\d+L?, s#", made._jdf.queryExecution().executedPlan().toString())
 
 
+def test_neighbours_need_only_the_minima_of_shared_lines(spark):
+    """Lines that share no band are met by no join of neighbours; those that do bring their minima with their texts."""
+    texts = [f"{prose(300 + i // 2, 30)}{' x' * (i % 2)}" for i in range(12)] + [prose(400 + i, 30) for i in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = materialize(line_dedup.signatures(docs).withColumn("line_id", F.monotonically_increasing_id()), "found")
+    ranked = line_dedup.candidates(found)
+    shared = line_dedup.texts_of(docs, found, ranked.select("line_id").distinct())
+    minima = {tuple(r) for r in shared.select("line_id", *line_dedup._PACKED).collect()}
+    assert len(minima) == 12 and minima < {tuple(r) for r in found.select("line_id", *line_dedup._PACKED).collect()}
+    ids = {r["line_id"]: r["doc_id"] for r in found.collect()}
+    pairs = line_dedup.near_pairs(ranked, shared.select("line_id", *line_dedup._PACKED)).collect()
+    assert {tuple(sorted((ids[r["a"]], ids[r["b"]]))) for r in pairs} == {(i, i + 1) for i in range(0, 12, 2)}
+
+
+def test_places_of_any_ids(spark):
+    """The document and line of a place, at both ends of what ids can be and of what a line number can be."""
+    rows = [(i, n) for i in (None, -(1 << 63), -5, -1, 0, 7, (1 << 63) - 1) for n in (0, 1, (1 << 31) - 1)]
+    got = spark.createDataFrame(rows, "doc_id long, line_no int").select("doc_id", "line_no", line_dedup._place().alias("place"))
+    assert all(r[0] == r[2] and r[1] == r[3] for r in got.select("doc_id", "line_no", *line_dedup._split_place("place")).collect())
+
+
 def test_unlike_lines_of_a_band_give_no_pairs(spark):
     """Variants of one line that are a little less than alike share bands, but are judged before they are put out as pairs."""
     rng, base = np.random.default_rng(71), prose(70, 80).split()
