@@ -51,10 +51,12 @@ def references_descriptor(pairs: DataFrame, multiples: DataFrame) -> DataFrame:
 def reachable(packages: DataFrame, storages: DataFrame, prefaces: DataFrame) -> DataFrame:
     """packages(source, material) with `reached`: whether a storage of a preface holds both; all are where there is neither preface nor storage.
 
-    storages(storage, package) and prefaces(storage).
+    storages(storage, package) and prefaces(storage). The storages of a source are looked up, and its material in each of
+    them, so no rows are made of the pairs of packages that a storage holds.
     """
-    held = storages.join(prefaces.select("storage").distinct(), "storage", "left_semi").distinct()
-    both = held.select("storage", F.col("package").alias("source")).join(held.select("storage", F.col("package").alias("material")), "storage").select("source", "material").distinct().withColumn("__held", F.lit(True))
+    held = storages.join(prefaces.select("storage").distinct(), "storage", "left_semi").select("storage", "package").distinct()
+    sources = packages.select("source", "material").distinct().join(held.withColumnRenamed("package", "source"), "source")
+    both = sources.join(held.withColumnRenamed("package", "material"), ["storage", "material"], "left_semi").select("source", "material").distinct().withColumn("__held", F.lit(True))
     none = storages.limit(1).count() == 0 and prefaces.limit(1).count() == 0
     return packages.join(both, ["source", "material"], "left").withColumn("reached", F.coalesce("__held", F.lit(none))).drop("__held")
 

@@ -76,7 +76,7 @@ def package_reachability(spark, sf):
     prefaces = table(spark, sf, "nation").where("n_regionkey < 3").select(F.col("n_nationkey").alias("storage"))
     packages = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("source"), (F.col("l_suppkey") % 7 + 1).alias("material")).distinct()
     alone = selection.reachable(packages, storages.where("false"), prefaces.where("false")).withColumnRenamed("reached", "reached_alone")
-    return selection.reachable(packages, storages, prefaces).join(alone, ["source", "material"])
+    return selection.reachable(alone, storages, prefaces)
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, s_name AS label FROM lineitem LEFT JOIN supplier ON s_suppkey = l_suppkey AND s_suppkey % 3 > 0""")
