@@ -114,7 +114,7 @@ def mp4_edit_lists(spark, sf):
     """Edit lists of files with a track for each customer, as the times of their parts in the track and when they are shown."""
     # A negative number is written by its two's complement.
     entry = _numbers(F.col("duration"), F.pmod(F.col("media_time").cast("long"), F.lit(1 << 32)), 1 << 16)
-    listed = edits(spark, sf).groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("entry_no", F.hex(entry).alias("bytes")))).alias("listed"))
+    listed = edits(spark, sf).groupBy("track_id").agg(F.sort_array(F.collect_list(F.struct("entry_no", F.hex(entry).alias("bytes")))).alias("listed"))
     n, media = F.size("listed"), _media()
     own = 12 * n + 8
     edts = _box("edts", own + 8, _box("elst", own, _numbers(0), octets(n, 4), F.unhex(F.array_join("listed.bytes", ""))))

@@ -1,12 +1,15 @@
 """Work that must grow no faster than the input: rows that operators put out, bytes that are carried, calls for each row."""
 
 import pytest
+from pyspark.sql import functions as F
+from test_containers import edited
 
 from framewright.operators import selection
+from framewright.sources import mp4
 
 
-def most_rows(df):
-    """The rows of a result, and the most that an operator of its plan has put out."""
+def most(df, name):
+    """The rows of a result, and the most of a count that an operator of its plan has."""
     execution = df._jdf.queryExecution()
     rows = execution.executedPlan().executeCollect()
 
@@ -15,7 +18,7 @@ def most_rows(df):
         for i in range(p.children().size()):
             yield from plans(p.children().apply(i))
 
-    counts = [m.get().value() for p in plans(execution.executedPlan()) if (m := p.metrics().get("numOutputRows")).isDefined()]
+    counts = [m.get().value() for p in plans(execution.executedPlan()) if (m := p.metrics().get(name)).isDefined()]
     return len(rows), max(counts)
 
 
@@ -33,5 +36,18 @@ def test_reachable_makes_no_pairs_of_a_storage(plain_plans):
     packages = spark.createDataFrame([(1, 2), (1, 2), (3, 5000), (None, 2), (998, 999)], "source long, material long")
     got = selection.reachable(packages, storages, spark.createDataFrame([(0,), (0,), (7,)], "storage long"))
     assert sorted((r["source"] or 0, r["material"], r["reached"]) for r in got.collect()) == [(0, 2, False), (1, 2, True), (1, 2, True), (3, 5000, False), (998, 999, True)]
-    n, most = most_rows(got)
-    assert n == 5 and most <= 1000
+    n, made = most(got, "numOutputRows")
+    assert n == 5 and made <= 1000
+
+
+def test_edit_lists_of_many_files_come_together(plain_plans):
+    good, bad = edited([(20, -1, 1 << 16), (50, 1000, 1 << 16)]), edited([(5, -1, 1 << 16)])
+    k = F.col("id")
+    files = plain_plans.range(0, 2000, 1, 1).select(k.cast("string").alias("path"), F.when(k % 100 == 0, F.lit(bad)).when(k % 100 == 1, F.lit(edited([]))).otherwise(F.lit(good)).alias("content"))
+    got = mp4.edits_in(files)
+    rows = got.collect()
+    assert len(rows) == 20 + 2 * 1960 and sum(r["error"] == "edits without a place in the track" for r in rows) == 20
+    assert sorted(tuple(r)[1:] for r in rows if r["path"] == "2") == [(7, 1, 882, -1, None), (7, 2, 2205, 1000, None)]
+    # What comes back from Python: a batch for each file would have its own header of some hundred bytes.
+    n, size = most(got, "pythonDataReceived")
+    assert n == len(rows) and size < 100 * n
