@@ -68,9 +68,14 @@ def passes(length_delta: Column, rmse: Column, mean_abs: Column, max_abs: Column
 
 def flac_block(total: Column, requested: Column, least: int = 32, most: int = 32767) -> Column:
     """The largest block of a stream that leaves a last block of none or of `least` frames; null for fewer frames."""
-    top = F.least(F.lit(most), total, requested)
-    fits = F.filter(F.sequence(F.lit(least), F.greatest(F.lit(least), top).cast("int")), lambda n: (total % n == 0) | (total % n >= least))
-    return F.when(top >= least, F.array_max(fits))
+    total, top = total.cast("long"), F.least(F.lit(most), total, requested).cast("long")
+    fits = lambda n: (total % n == 0) | (total % n >= least)
+    # A block that is smaller by one leaves as many more frames as there are blocks, while they stay fewer than a block.
+    rest, blocks = total % top, F.call_function("div", total, top)
+    down = F.ceil((F.lit(least) - rest) / blocks)
+    searched = lambda low, high: F.array_max(F.filter(F.sequence(F.greatest(F.lit(least).cast("long"), low), high), fits))
+    near = top - down
+    return F.when(top >= least, F.when(fits(top), top).when((near >= least) & (rest + blocks * down < near), near).otherwise(F.coalesce(searched(top - 2 * least, top), searched(F.lit(least), top))).cast("int"))
 
 
 def integral_units(value: Column, numerator: Column, denominator: Column, timescale: Column) -> Column:

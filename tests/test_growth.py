@@ -1,5 +1,7 @@
 """Work that must grow no faster than the input: rows that operators put out, bytes that are carried, calls for each row."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 from test_containers import edited
@@ -51,3 +53,17 @@ def test_edit_lists_of_many_files_come_together(plain_plans):
     # What comes back from Python: a batch for each file would have its own header of some hundred bytes.
     n, size = most(got, "pythonDataReceived")
     assert n == len(rows) and size < 100 * n
+
+
+def test_flac_blocks_of_any_request_take_few_steps(spark):
+    totals = [None, -5, 0, 31, 32, 33, 63, 64, 65, 1000, 1057, 4097, 32767, 65537, 99991, 740_005, 266_000_033, 232_792_560 + 5, (1 << 58) + 3]
+    asked = [-1, 0, 31, 32, 33, 40, 63, 100, 500, 1031, 5000, 32767, 40000]
+    rows = spark.createDataFrame([(t, r) for t in totals for r in asked], "t long, r int")
+    fits = lambda t, r: max((n for n in range(32, min(32767, t, r) + 1) if t % n == 0 or t % n >= 32), default=None)
+    got = rows.select("t", "r", selection.flac_block(F.col("t"), F.col("r")).alias("n")).collect()
+    assert [x["n"] for x in got] == [None if x["t"] is None else fits(x["t"], x["r"]) for x in got]
+    # All candidates of each of these would be a hundred and fifty million.
+    many = spark.range(100000, 105000, 1, 1).select(selection.flac_block(F.col("id") * 37, F.lit(32767)).alias("n"))
+    began = time.monotonic()
+    assert many.where("n > 32000").count() == 5000
+    assert time.monotonic() - began < 8
