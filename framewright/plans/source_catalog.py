@@ -25,12 +25,12 @@ def _caf_files(spark, sf: str) -> DataFrame:
     own = Window.partitionBy("track_id").orderBy(*ORDER)
     rows = raw_samples(spark, sf).select("track_id", F.row_number().over(own).alias("no"), (F.col("size") * 37 % 3000 + 1).alias("size"))
     digits = F.concat(F.hex(F.shiftright("size", 7) + 128), F.lpad(F.hex(F.col("size").bitwiseAND(F.lit(127))), 2, "0"))
-    files = rows.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("no", digits.alias("digits")))).alias("listed"), F.sum("size").alias("total"), F.count(F.lit(1)).alias("n"))
+    files = rows.groupBy("track_id").agg(F.sort_array(F.collect_list(F.struct("no", digits.alias("digits")))).alias("listed"), F.sum("size").alias("total"), F.count(F.lit(1)).alias("n"))
     priming, remainder, n = F.col("track_id") % 600, F.col("track_id") % 400, F.col("n")
     table_ = F.concat(octets(n, 8), octets(n * FRAMES - priming - remainder, 8), octets(priming, 4), octets(remainder, 4), F.unhex(F.array_join("listed.digits", "")))
     rate = F.unhex(F.lit("40E5888000000000"))  # 44,100 as a double
     parts = [_text("caff"), F.unhex(F.lit("00010000")), _text("desc"), octets(F.lit(32), 8), rate, _text("aac "), *(octets(F.lit(v), 4) for v in (0, 0, FRAMES, 2, 0))]
-    parts += [_text("pakt"), octets(2 * n + 24, 8), table_, _text("data"), octets(F.col("total") + 4, 8), F.unhex(F.repeat(F.lit("00"), (F.col("total") + 4).cast("int")))]
+    parts += [_text("pakt"), octets(2 * n + 24, 8), table_, _text("data"), octets(F.col("total") + 4, 8), F.repeat(F.lit("\0"), (F.col("total") + 4).cast("int")).cast("binary")]
     return files.select(F.col("track_id").cast("string").alias("path"), F.concat(*parts).alias("content"))
 
 

@@ -2,12 +2,15 @@
 
 import time
 
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_containers import edited
+from test_sources import caf_file
 
 from framewright.operators import selection
-from framewright.sources import mp4
+from framewright.sources import caf, mp4
 
 
 def most(df, name):
@@ -67,3 +70,29 @@ def test_flac_blocks_of_any_request_take_few_steps(spark):
     began = time.monotonic()
     assert many.where("n > 32000").count() == 5000
     assert time.monotonic() - began < 8
+
+
+def test_caf_tables_are_read_together(spark, monkeypatch):
+    good = caf_file(0, [3, 200, 20000], [3, 200, 20000], 2500, 100, 400)
+    bad = [caf_file(0, [3, 4], [3, 5], 10, 0, 0), caf_file(0, [3, 4], [7], 10, 0, 0), caf_file(0, [7, 0], [7, 0], 10, 0, 0), caf_file(0, [3], [3], 2000, 0, 0), good[:40], caf_file(0, [1 << 20], [1 << 27], 10, 0, 0)]
+    cut = good.replace(b"\x81\x9c\x20", b"\x81\x9c\xa0")
+    other = [caf_file(8, [8, 8], [], 2048, 0, 0), caf_file(0, [], [], 0, 0, 0), cut]
+    data = [good, *bad, *other, good, good]
+    files = spark.createDataFrame([(str(i), d) for i, d in enumerate(data)], "path string, content binary").coalesce(1)
+    for kept in (data, [d for d in data if d is not bad[-1]]):
+        want = []
+        for i, d in enumerate(data):
+            try:
+                want += [(str(i), *r) for r in caf.packets(d).values.tolist()] if d in kept else []
+            except caf.CafError:
+                pass
+        got = caf.packets_in(files.where(F.col("path").isin([str(i) for i, d in enumerate(data) if d in kept])))
+        assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) == 11
+    calls = []
+    monkeypatch.setattr(caf, "table_sizes", lambda body, own=caf.table_sizes: calls.append(1) or own(body))
+    many = []
+    monkeypatch.setattr(type(files), "mapInArrow", lambda self, run, schema: many.extend(run(iter([pa.record_batch({"path": ["a"] * 500, "content": [good] * 500})]))), raising=False)
+    monkeypatch.setattr(type(files), "mapInPandas", lambda self, run, schema: many.extend(run(iter([pd.DataFrame({"path": ["a"] * 500, "content": [good] * 500})]))), raising=False)
+    caf.packets_in(files)
+    assert sum(map(len, many)) == 500 * 3 if isinstance(many[0], pd.DataFrame) else sum(b.num_rows for b in many) == 500 * 3
+    assert len(calls) == 1
