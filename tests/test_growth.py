@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from test_containers import edited
 from test_sources import caf_file
 
-from framewright.operators import selection
+from framewright.operators import framed, selection
 from framewright.sources import caf, mp4
 
 
@@ -96,3 +96,17 @@ def test_caf_tables_are_read_together(spark, monkeypatch):
     caf.packets_in(files)
     assert sum(map(len, many)) == 500 * 3 if isinstance(many[0], pd.DataFrame) else sum(b.num_rows for b in many) == 500 * 3
     assert len(calls) == 1
+
+
+def test_frames_of_many_streams_come_together(plain_plans):
+    frame = lambda *payloads: b"".join(len(p).to_bytes(4, "big") + p for p in payloads)
+    streams = {None: frame(b"of none"), 1: frame(b"a", b"", b"x" * 90000), 2: frame(b"ab") + b"\0\0\0\5ab", 3: b"\xff\0\0\0zz" + frame(b"z"), 4: b""} | {i: frame(b"%d" % i) for i in range(10, 2010)}
+    rows = plain_plans.createDataFrame(list(streams.items()), "stream_id long, data binary")
+    pieces = framed.chunks(rows, 7)
+    got = framed.frames_of(pieces)
+    found = {(r["stream_id"], r["frame"]): (r["payload"], r["error"]) for r in got.collect()}
+    assert found.pop((None, 0)) == (b"of none", None) and [found.pop((1, i)) for i in range(3)] == [(b"a", None), (b"", None), (b"x" * 90000, None)]
+    assert found.pop((2, 0)) == (b"ab", None) and found.pop((2, 1)) == (None, "6 bytes of a frame that has no end") and found.pop((3, 0)) == (None, "a frame of 4278190080 bytes")
+    assert found == {(i, 0): (b"%d" % i, None) for i in range(10, 2010)}
+    n, size = most(framed.frames_of(pieces.where("stream_id >= 10")), "pythonDataReceived")
+    assert n == 2000 and size < 100 * n
