@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from test_containers import edited
 from test_sources import caf_file
 
+from framewright.functions import sealing
 from framewright.operators import framed, selection
 from framewright.sources import caf, mp4
 
@@ -110,3 +111,17 @@ def test_frames_of_many_streams_come_together(plain_plans):
     assert found == {(i, 0): (b"%d" % i, None) for i in range(10, 2010)}
     n, size = most(framed.frames_of(pieces.where("stream_id >= 10")), "pythonDataReceived")
     assert n == 2000 and size < 100 * n
+
+
+def test_payloads_are_sealed_and_opened_a_slice_at_a_time(monkeypatch):
+    plain = [None if i % 7 == 0 else bytes([i]) * (i * 8000) for i in range(120)]
+    work = []
+    for name in ("pandas_udf", "arrow_udf"):
+        monkeypatch.setattr(sealing.F, name, lambda *_: lambda f: work.append(f) or (lambda *columns: columns[0]))
+    for column in (sealing.sealed, sealing.opened):
+        column(bytes(32), F.lit(b""), F.lit(1))
+    at = pa.array(range(120), pa.int64())
+    hidden = list(work[0](iter([(pa.array(plain, pa.binary()), at)])))
+    back = list(work[1](iter([(pa.concat_arrays(hidden), at)])))
+    assert pa.concat_arrays(back).to_pylist() == plain and sum(map(len, hidden)) == 120
+    assert sum(len(p or b"") for p in plain) > 10 * sealing.SLICE and max(p.nbytes for p in hidden + back) < 2 * sealing.SLICE
